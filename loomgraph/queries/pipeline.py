@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.operators.accumulate import key_totals
 from loomgraph.operators.changes import apply_changes
 from loomgraph.operators.orphans import ForeignKey, cascade
-from loomgraph.storage import table
+from loomgraph.storage import materialize, table
 
 
 def _option(spark: SparkSession, folder: str, name: str) -> int:
@@ -26,7 +26,8 @@ def p3_source_totals(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _current(spark: SparkSession, folder: str) -> DataFrame:
-    return apply_changes(table(spark, folder, "graph_edges"), table(spark, folder, "edge_deltas"))
+    """The rebuilt edge table, written out: the queries read the table, so all of the base goes through the multiset."""
+    return materialize(apply_changes(table(spark, folder, "graph_edges"), table(spark, folder, "edge_deltas")), "edges")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
