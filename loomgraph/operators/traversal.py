@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.predicates import P, predicate
+from loomgraph.functions.values import VALUE_STEPS
 from loomgraph.model import EDGE_CORE, VERTEX_CORE, PropertyGraph
 
 VERTEX, EDGE, VALUE = "vertex", "edge", "value"
@@ -593,3 +594,25 @@ class Compared(Reduced):
     def per(self, keys: list[str], domain: DataFrame) -> Traversal:
         t = self.inner.per(keys, domain)
         return t._new(t.df.where(self.test(F.col("_x"))))
+
+
+def together(**parts: Reduced) -> DataFrame:
+    """One row with a column per reduced traversal, such as ``together(people=g.V().count(), ties=g.E().count())``."""
+    out = None
+    for name, r in parts.items():
+        one = r.frame().toDF(name)
+        out = one if out is None else out.join(one)  # one row each
+    return out
+
+
+def _value_step(expr: Callable[..., Column]) -> Callable[..., Traversal]:
+    def step(self: Traversal, *args: Any) -> Traversal:
+        if self.kind != VALUE:
+            raise ValueError("this step works on values")
+        return self._value(expr(F.col("_x"), *args))
+
+    return step
+
+
+for _name, _expr in VALUE_STEPS.items():
+    setattr(Traversal, _name, _value_step(_expr))

@@ -424,6 +424,52 @@ def people_bfs(g):
     return A.bfs(g, _hub(g)).select("vid", "distance")
 
 
+@query(part, f"{_WALK} SELECT count(*) AS visited, max(distance) AS depth, round(avg(distance), 6) AS mean_distance FROM bf")
+def bfs_stats(g):
+    return A.bfs(g, _hub(g)).agg(F.count(F.lit(1)).alias("visited"), F.max("distance").alias("depth"), F.round(F.avg("distance"), 6).alias("mean_distance"))
+
+
+@query(part, f" , w AS (SELECT {_HUB} AS vid, 0 AS d UNION SELECT src, d + 1 FROM w JOIN pe ON dst = vid WHERE d < 300) SELECT vid, CAST(min(d) AS BIGINT) AS distance FROM w GROUP BY vid")
+def bfs_reverse(g):
+    return A.bfs(g, _hub(g), "in").select("vid", "distance")
+
+
+@query(people, " , h AS (SELECT src FROM ge GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), m AS (SELECT vid FROM gv WHERE community = (SELECT community FROM gv JOIN h ON vid = src)), ie AS (SELECT src, dst FROM ge WHERE src IN (SELECT vid FROM m) AND dst IN (SELECT vid FROM m)), w AS (SELECT src AS vid, 0 AS d FROM h WHERE src IN (SELECT vid FROM m) UNION SELECT ie.dst, d + 1 FROM w JOIN ie ON ie.src = w.vid WHERE d < 60) SELECT vid, CAST(min(d) AS BIGINT) AS distance FROM w GROUP BY vid")
+def bfs_in_community(g):
+    h = _hub(g)
+    own = g.vertices.where(F.col("vid") == h).first()["community"]
+    return A.bfs(g, h, community=own if own is not None else -1).select("vid", "distance")
+
+
+@query(part, f"{_CROSS}, b AS (SELECT src AS v FROM c UNION SELECT dst FROM c), i AS (SELECT pe.src, pe.dst FROM pe JOIN pv a ON pe.src = a.vid JOIN pv z ON pe.dst = z.vid WHERE a.community = z.community), ir AS (SELECT v AS s, v AS t FROM b UNION SELECT ir.s, i.dst FROM ir JOIN i ON ir.t = i.src) SELECT src, dst, 'cross' AS kind FROM c UNION ALL SELECT s, t, 'inside' FROM ir WHERE s <> t AND t IN (SELECT v FROM b)")
+def enriched_boundary(g):
+    return A.enriched_boundary(g)
+
+
+@query(part, f"{_DIR}, lv AS (SELECT DISTINCT component AS vid, 0 AS level FROM sc UNION SELECT dst, level + 1 FROM lv JOIN se ON src = vid), top AS (SELECT vid, max(level) AS level FROM lv GROUP BY vid), n AS (SELECT level, count(*) AS n FROM top GROUP BY 1) SELECT (SELECT count(*) FROM top) AS n_vertices, (SELECT count(*) FROM se) AS n_edges, CAST((SELECT max(level) + 1 FROM n) AS BIGINT) AS n_levels, (SELECT max(n) FROM n) AS widest, (SELECT max(k) FROM (SELECT count(*) AS k FROM se GROUP BY src)) AS max_out, (SELECT max(k) FROM (SELECT count(*) AS k FROM se GROUP BY dst)) AS max_in")
+def dag_stats(g):
+    dag = A.condensed(g, materialize(A.scc(g), "scc"))
+    return A.dag_stats(dag)
+
+
+@query(part, " , s AS (SELECT vid FROM pv ORDER BY vid LIMIT 40), r AS (SELECT vid AS src, vid AS dst FROM s UNION SELECT r.src, pe.dst FROM r JOIN pe ON r.dst = pe.src) SELECT src, dst FROM r WHERE dst IN (SELECT vid FROM pv WHERE price > 930)")
+def closure_to_targets(g):
+    ids = [r["vid"] for r in g.vertices.select("vid").orderBy("vid").limit(40).collect()]
+    return A.closure(g, ids, g.vertices.where("price > 930").select("vid"))
+
+
+@query(trade, " SELECT a.name AS buyer, r.name AS region FROM te x JOIN te y ON x.dst = y.src JOIN tv a ON a.vid = x.src JOIN tv r ON r.vid = y.dst WHERE x.label = 'in_nation' AND y.label = 'in_region'")
+def select_names(g):
+    return g.traversal().V().as_("buyer").out("in_nation").out("in_region").as_("region").select("buyer", "region", by="name")
+
+
+@query(trade, " SELECT vid FROM tv WHERE label IN ('customer', 'supplier') AND NOT EXISTS (SELECT 1 FROM te WHERE te.src = vid AND te.label = 'buys_from')")
+def coalesce_step(g):
+    from loomgraph.functions.predicates import within as either
+
+    return g.traversal().V().has("label", either("customer", "supplier")).coalesce(__.where(__.out("buys_from")).has("name", "nobody"), __.not_(__.out("buys_from"))).frame()
+
+
 # -- second-order queries -------------------------------------------------------------------------------------------------------------
 
 
@@ -457,9 +503,9 @@ def scc_filter(g):
     return SecondOrder(g).SCC().forall("x").exist("y").filter("g.V(x).out().is(y)").members()
 
 
-@query(part, f"{_DIR}, k AS (SELECT component, count(*) AS n FROM sc GROUP BY 1) SELECT component AS subset_id, n AS size FROM k WHERE n <= 3 AND component IN (SELECT a.component FROM sc a JOIN pv ON a.vid = pv.vid WHERE pv.price > 1500)")
+@query(part, f"{_DIR}, k AS (SELECT component, count(*) AS n FROM sc GROUP BY 1) SELECT component AS subset_id, n AS size FROM k WHERE n <= 3 AND component IN (SELECT a.component FROM sc a JOIN pv ON a.vid = pv.vid WHERE pv.price > 950)")
 def scc_exists_price(g):
-    return SecondOrder(g).SCC().exist("x").filter("g.V(x).has('price', gt(1500))").having("size <= 3").sizes()
+    return SecondOrder(g).SCC().exist("x").filter("g.V(x).has('price', gt(950))").having("size <= 3").sizes()
 
 
 @query(part, " SELECT CAST(pv.community AS BIGINT) AS subset_id, count(*) AS size FROM pv WHERE community IN (SELECT a.community FROM pe JOIN pv a ON pe.src = a.vid JOIN pv b ON pe.dst = b.vid WHERE a.community = b.community) GROUP BY 1")

@@ -10,6 +10,11 @@ os.environ.setdefault("TZ", "UTC")
 
 @pytest.fixture(scope="session")
 def spark():
+    """Small tables: interpreted expressions start faster than compiled ones."""
     from loomgraph.storage import session
 
-    return session("tests", cores="4", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    small = {
+        "spark.sql.shuffle.partitions": "3", "spark.default.parallelism": "2", "spark.driver.memory": "4g", "spark.sql.codegen.wholeStage": "false",
+        "spark.sql.codegen.factoryMode": "NO_CODEGEN", "spark.sql.autoBroadcastJoinThreshold": "1m", "spark.sql.adaptive.enabled": "false",
+    }
+    return session("tests", cores="4", **small)
