@@ -55,8 +55,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _grid(edges: DataFrame, n: int, edges_per_cell: int) -> DataFrame:
-    """Edges laid out by (row block of ``a``, column block of ``b``), one partition a cell."""
-    side = max(1, ceil(sqrt(n / edges_per_cell)))
+    """Edges laid out by (row block of ``a``, column block of ``b``), one partition a cell, and at most about 40,000 cells."""
+    side = max(1, ceil(sqrt(n / max(edges_per_cell, n // 40_000))))
     block = lambda c: F.pmod(F.xxhash64(c), F.lit(side)).cast("int")
     return edges.select("a", "b").repartitionById(side * side, block("a") * side + block("b"))
 
@@ -80,7 +80,7 @@ def _to_roots(parents: DataFrame) -> DataFrame:
         parents = moved
 
 
-def connected_groups(pairs: DataFrame, left: str, right: str, edges_per_cell: int = 1 << 19) -> DataFrame:
+def connected_groups(pairs: DataFrame, left: str, right: str, edges_per_cell: int = 1 << 15) -> DataFrame:
     """``(vertex, group_id)``: every vertex of a pair and the smallest vertex it is linked to, directly or in chains.
 
     Ends are LONG. Pairs with a null end link nothing and name no vertex; a pair of a vertex with itself makes a
