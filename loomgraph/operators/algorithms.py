@@ -48,7 +48,7 @@ def bfs(graph: PropertyGraph, starts: int | Iterable[int] | DataFrame, direction
         if not known:
             return spark.createDataFrame([], schema)
         begin = spark.createDataFrame([(k,) for k in known], "vid long")
-    if not many and edges.limit(local_edges + 1).count() <= local_edges:
+    if not many and edges.count() <= local_edges:
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr, parts = Csr(src, dst, np.array(known, np.int64)), []
             for s in known:
@@ -99,7 +99,7 @@ def _stars(edges: DataFrame) -> DataFrame:
 def wcc(graph: PropertyGraph, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(vid, component)``: ``component`` is the smallest vertex weakly connected to ``vid``; isolated vertices are their own."""
     edges = graph.edges.select("src", "dst")
-    if edges.limit(local_edges + 1).count() <= local_edges:
+    if edges.count() <= local_edges:
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr = Csr(src, dst)
             return {"vid": csr.ids, "component": csr.ids[csr.components()]}
@@ -128,7 +128,7 @@ def scc(graph: PropertyGraph, local_edges: int = LOCAL_EDGES) -> DataFrame:
     edges = graph.edges.select("src", "dst").where("src <> dst")
     done: list[DataFrame] = []
     rest = edges
-    while rest.limit(local_edges + 1).count() > local_edges:
+    while rest.count() > local_edges:
         rest = materialize(rest, "rest")
         while True:  # trim
             n = rest.count()
@@ -198,7 +198,7 @@ def condensed(graph: PropertyGraph, parts: DataFrame) -> PropertyGraph:
 def levels(dag: PropertyGraph, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(vid, level)``: longest distance from a vertex without incoming edges. The graph must be acyclic."""
     edges = dag.edges.select("src", "dst")
-    if edges.limit(local_edges + 1).count() <= local_edges:
+    if edges.count() <= local_edges:
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr = Csr(src, dst)
             return {"vid": csr.ids, "level": csr.levels()}
@@ -270,7 +270,7 @@ def shortest_path(graph: PropertyGraph, source: int, target: int, local_edges: i
     if not {source, target} <= both:
         return spark.createDataFrame([], schema)
     edges = graph.edges.select("src", "dst")
-    if edges.limit(local_edges + 1).count() <= local_edges:
+    if edges.count() <= local_edges:
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr = Csr(src, dst, np.array([source, target], np.int64))
             code, _, parent = csr.bfs(csr.code(source))

@@ -18,6 +18,8 @@ from loomgraph.storage import materialize
 
 #: Vertices over which subsets are tried one by one; 2 to this power masks are tested at most.
 MAX_VERTICES = 24
+#: Vertices up to which all masks are tested at once whatever the sentence: one stage instead of one per set size.
+MASKED = 16
 #: Vertices whose compatible pairs may be listed for a filter that is stored by its false tuples.
 MAX_PAIRS_OF = 5000
 
@@ -150,10 +152,10 @@ def subsets(graph: PropertyGraph, prefix: list[tuple[str, str]], expr: object, h
     rel = relation(graph, expr)
     names, kinds = [v for v, _ in prefix], [q for _, q in prefix]
     n = graph.vertices.count()
-    if prefix and set(kinds) == {FORALL} and len(names) <= 2 and len(set(names)) == len(names):
+    if n > MASKED and prefix and set(kinds) == {FORALL} and len(names) <= 2 and len(set(names)) == len(names):
         x, y = names if len(names) == 2 else (names[0], names[0])
         return _grown(graph, rel, x, y, _sizes(graph, having, n), n)
-    if not prefix:  # all sets of an allowed size, or none
+    if n > MASKED and not prefix:  # all sets of an allowed size, or none
         sizes = _sizes(graph, having, n)
         if rel.positive:
             return graph.spark.createDataFrame([], SCHEMA)

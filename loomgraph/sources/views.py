@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.model import PropertyGraph
-from loomgraph.storage import table
+from loomgraph.storage import materialize, table
 
 
 def part_graph(spark: SparkSession, folder: str) -> PropertyGraph:
-    """Parts, each linked to the next one of its order when bought in quantity; communities are brands."""
+    """Parts, each linked to the next one of its order when bought in quantity; communities are brands.
+
+    The derived edges are written once: algorithms read them many times.
+    """
     part, items = table(spark, folder, "part"), table(spark, folder, "lineitem")
     brands = part.select("p_brand").distinct().withColumn("community", F.dense_rank().over(Window.orderBy("p_brand")) - 1)  # one row per brand
     vertices = part.join(brands, "p_brand").select(
@@ -19,7 +22,7 @@ def part_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     )
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     steps = items.where("l_quantity >= 43").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
-    return PropertyGraph(vertices, steps.where("dst IS NOT NULL AND src <> dst").distinct())
+    return PropertyGraph(vertices, materialize(steps.where("dst IS NOT NULL AND src <> dst").distinct(), "part"))
 
 
 REGION, NATION, CUSTOMER, SUPPLIER = (k * 10**9 for k in (1, 2, 3, 4))
@@ -57,7 +60,7 @@ def nation_graph(spark: SparkSession, folder: str, n: int = 10) -> PropertyGraph
     sold = sold.where((F.col("c_nationkey") < n) & (F.col("s_nationkey") < n)).groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).count()
     all_pairs = sold.agg(F.sum("count").alias("lines"), F.count(F.lit(1)).alias("pairs"))  # one row
     sold = sold.crossJoin(F.broadcast(all_pairs)).where((F.col("count") * F.col("pairs") > F.col("lines")) & (F.col("src") != F.col("dst"))).select("src", "dst")
-    return PropertyGraph(nations.select("vid", F.lit("nation").alias("label"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("community")), same.union(sold).distinct())
+    return PropertyGraph(nations.select("vid", F.lit("nation").alias("label"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("community")), materialize(same.union(sold).distinct(), "nation"))
 
 
 def people_graph(spark: SparkSession, folder: str) -> PropertyGraph:
