@@ -5,42 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits that ``bitmap_construct_agg`` holds in one row, and its bytes.
+#: Bits that ``bitmap_construct_agg`` holds in one value, and its bytes.
 _BITS, _BYTES = 32768, 4096
 
 
-def _slots(n: int, bits_per_key: int, max_bytes: int) -> int:
-    """Slots of one plane: a power of two with ``bits_per_key`` a key, within the byte limit and at least one bitmap."""
-    want = _BITS
-    while want < n * bits_per_key and want * 2 <= max_bytes * 8:
-        want *= 2
-    return want
+def _place(key: Column, blocks: int, planes: int) -> list[Column]:
+    """The block of a key, and its bit in each plane of that block."""
+    block = F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(blocks)).alias("block")
+    return [block, *[F.pmod(F.xxhash64(key, F.lit(p)), F.lit(_BITS)).alias(f"bit{p}") for p in range(planes)]]
 
 
-def _slot(key: Column, seed: int, slots: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(slots))
-
-
-def _bitmaps(slots: DataFrame) -> DataFrame:
-    """``(plane, bucket, bits)`` from ``(plane, slot)``: partial bitmaps are built before the shuffle."""
-    return slots.groupBy("plane", F.bitmap_bucket_number("slot").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-
-
-def _probe(rows: DataFrame, key: Column, filters: DataFrame, planes: int, slots: int, flag: str, small: bool) -> DataFrame:
-    """Add ``flag``: whether every plane has the key's bit. A filter row is a 4 KB bitmap, joined by its number."""
-    found = None
-    for p in range(planes):
-        name = f"_bits{p}"
-        one = filters.where(F.col("plane") == p).select(F.col("bucket").alias("_bucket"), F.col("bits").alias(name))
-        rows = rows.withColumn("_slot", _slot(key, p, slots)).withColumn("_bucket", F.bitmap_bucket_number("_slot"))
-        rows = rows.join(F.broadcast(one) if small else one, "_bucket", "left")
-        bit = F.bitmap_bit_position("_slot")
-        byte = F.ascii(F.decode(F.substring(F.col(name), (F.floor(bit / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+def _probe(rows: DataFrame, key: Column, filters: DataFrame, blocks: int, planes: int, flag: str, small: bool) -> DataFrame:
+    """Add ``flag``: whether the key's block has its bit in every plane. A filter row holds one block's planes."""
+    block, *bits = _place(key, blocks, planes)
+    filters = filters.select(F.col("block").alias("_block"), *[F.col(f"plane{p}").alias(f"_plane{p}") for p in range(planes)])
+    joined = rows.withColumn("_block", block).join(F.broadcast(filters) if small else filters, "_block", "left")
+    found = F.lit(True)
+    for p, bit in enumerate(bits):
+        byte = F.ascii(F.decode(F.substring(F.col(f"_plane{p}"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
         mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
-        hit = F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
-        rows = rows.withColumn(f"_hit{p}", hit).drop(name, "_slot", "_bucket")
-        found = F.col(f"_hit{p}") if found is None else found & F.col(f"_hit{p}")
-    return rows.withColumn(flag, found).drop(*[f"_hit{p}" for p in range(planes)])
+        found = found & F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
+    return joined.withColumn(flag, found).drop("_block", *[f"_plane{p}" for p in range(planes)])
 
 
 def seen_before(
@@ -49,7 +34,7 @@ def seen_before(
     stored_kind: str = "edge",
     bits_per_key: int = 16,
     planes: int = 2,
-    max_filter_bytes: int = 64 << 20,
+    max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``(request_id, kind, seen, route, mistake)``: one row per request with a key.
 
@@ -63,22 +48,24 @@ def seen_before(
     on disk (``route='exact'``). There ``mistake`` logs every positive that the lookup disproved: ``collision`` (key neither
     stored nor repeated) or ``first`` (the first of a repeated key); otherwise it is null.
 
-    The filters' size follows the number of keys up to ``max_filter_bytes`` together; only up to this size are they
-    broadcast. Beyond it they keep that size and let more keys through to the exact lookup, so answers never change.
-    Hot keys are merged before each shuffle, and verdicts are joined by the unique ``request_id``.
+    A filter has blocks of 4 KB a plane, as many as the number of keys asks for. Up to ``max_broadcast_bytes`` for both
+    together they are broadcast; larger ones are joined by block, which shuffles requests but keeps the filters as selective at any
+    size. Hot keys are merged before each shuffle of keys, and verdicts are joined by the unique ``request_id``.
     """
     rows = requests.select("request_id", "kind", "key").where(F.col("key").isNotNull())
     kept = stored.select("key").where(F.col("key").isNotNull())
-    n_rows, n_kept = rows.count(), kept.count()
-    half = max_filter_bytes // (2 * planes)
-    m_rows, m_kept = _slots(n_rows, bits_per_key // planes, half), _slots(n_kept, bits_per_key // planes, half)
+    size = lambda n: max(1, -(-n * bits_per_key // (planes * _BITS)))
+    b_rows, b_kept = size(rows.count()), size(kept.count())
+    small = (b_rows + b_kept) * planes * _BYTES <= max_broadcast_bytes
     own = F.concat_ws("\x1f", "kind", "key")
-    arrivals = rows.select("request_id", F.explode(F.array(*[F.struct(F.lit(p).alias("plane"), _slot(own, p, m_rows).alias("slot")) for p in range(planes)])).alias("s"))
-    repeated = arrivals.groupBy("s.plane", "s.slot").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("plane", "slot")
-    keyed = kept.select(F.explode(F.array(*[F.struct(F.lit(p).alias("plane"), _slot(F.concat(F.lit(stored_kind + "\x1f"), F.col("key")), p, m_kept).alias("slot")) for p in range(planes)])).alias("s"))
-    small = (m_rows + m_kept) // 8 * planes <= max_filter_bytes
-    probed = _probe(rows, own, _bitmaps(repeated), planes, m_rows, "maybe_repeated", small)
-    probed = _probe(probed, own, _bitmaps(keyed.select("s.plane", "s.slot")), planes, m_kept, "hit_stored", small)
+    block, *bits = _place(own, b_rows, planes)
+    arrivals = rows.select(block, F.posexplode(F.array(*bits)).alias("plane", "bit"))
+    repeated = arrivals.groupBy("block", "plane", "bit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    repeated = repeated.groupBy("block").agg(*[F.bitmap_construct_agg(F.when(F.col("plane") == p, F.col("bit"))).alias(f"plane{p}") for p in range(planes)])
+    keyed = kept.select(*_place(F.concat(F.lit(stored_kind + "\x1f"), F.col("key")), b_kept, planes))
+    keyed = keyed.groupBy("block").agg(*[F.bitmap_construct_agg(f"bit{p}").alias(f"plane{p}") for p in range(planes)])
+    probed = _probe(rows, own, repeated, b_rows, planes, "maybe_repeated", small)
+    probed = _probe(probed, own, keyed, b_kept, planes, "hit_stored", small)
     probed = probed.withColumn("positive", F.col("maybe_repeated") | (F.col("hit_stored") & (F.col("kind") == stored_kind)))
     positives = probed.where("positive").select("request_id", "kind", "key")
     firsts = positives.groupBy("kind", "key").agg(F.min("request_id").alias("request_id"), F.count(F.lit(1)).alias("n"))
