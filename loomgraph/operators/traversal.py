@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.predicates import P, predicate
@@ -42,6 +42,13 @@ class Steps:
 
 __ = Steps()
 
+#: Steps that see more than one traverser at a time.
+BARRIERS = {"dedup", "limit", "skip", "range", "tail", "sample", "order"}
+
+
+def _barrier(nested: Steps) -> bool:
+    return any(name in BARRIERS or any(isinstance(a, Steps) and _barrier(a) for a in (*args, *kwargs.values())) for name, args, kwargs in nested.steps)
+
 
 class Source:
     """Where traversals start: ``g.V()``, ``g.V(1)``, ``g.E()``, ``g.inject(...)``."""
@@ -78,11 +85,13 @@ class Traversal:
     #: Labelled steps: name -> kind; their columns are ``as:<name>`` (vertices and values) or ``as:<name>.src/.dst``.
     tags: dict[str, str] = field(default_factory=dict)
     tracked: bool = False
+    #: Columns that tell one evaluation of a nested traversal or filter from another; ``dedup``, ``limit`` and the like act within one.
+    scope: tuple[str, ...] = ()
 
     # -- plumbing ----------------------------------------------------------------------------------------------------------
 
     def _new(self, df: DataFrame, kind: str | None = None, loaded: bool | None = None, **more: Any) -> Traversal:
-        return Traversal(self.graph, df, kind or self.kind, self.loaded if loaded is None else loaded, more.get("tags", self.tags), more.get("tracked", self.tracked))
+        return Traversal(self.graph, df, kind or self.kind, self.loaded if loaded is None else loaded, more.get("tags", self.tags), more.get("tracked", self.tracked), more.get("scope", self.scope))
 
     def _here(self) -> list[str]:
         return {VERTEX: ["_v"], EDGE: ["_src", "_dst", "_from"], VALUE: ["_x"]}[self.kind]
@@ -220,7 +229,7 @@ class Traversal:
         origin = [f"_o{len([c for c in self.df.columns if c.startswith('_o')])}{k}" for k in keys]
         refs = [c for c in self.df.columns if c.startswith("as:")]
         base = self.df.select(*keys, *[f"`{c}`" for c in refs]).distinct().withColumns({o: F.col(k) for o, k in zip(origin, keys)})
-        inner = nested.on(Traversal(self.graph, base, self.kind, tags=self.tags))
+        inner = nested.on(Traversal(self.graph, base, self.kind, tags=self.tags, scope=(*origin, *refs)))
         if isinstance(inner, Reduced):
             inner = inner.per(origin + refs, base.select(*origin, *[f"`{c}`" for c in refs]))
         return inner.df.select(*[F.col(o).alias(k) for o, k in zip(origin, keys)], *[f"`{c}`" for c in refs]).distinct(), keys + refs
@@ -252,9 +261,9 @@ class Traversal:
     def dedup(self, *by: str) -> Traversal:
         """One traverser per element, or per value of a property."""
         if not by:
-            return self._new(self.df.dropDuplicates(self._key()))
+            return self._new(self.df.dropDuplicates([*self.scope, *self._key()]))
         t = self._load()
-        return t._new(t.df.dropDuplicates([f"p:{k}" for k in by]))
+        return t._new(t.df.dropDuplicates([*self.scope, *[f"p:{k}" for k in by]]))
 
     def simplePath(self) -> Traversal:
         t = self._tracked()
@@ -268,7 +277,7 @@ class Traversal:
         return self._new(self.df.where(F.rand(seed) < share))
 
     def sample(self, n: int, seed: int = 1) -> Traversal:
-        return self._new(self.df.orderBy(F.rand(seed)).limit(n))
+        return self._ranked([F.rand(seed)]).limit(n) if self.scope else self._new(self.df.orderBy(F.rand(seed)).limit(n))
 
     # -- order ---------------------------------------------------------------------------------------------------------------
 
@@ -276,22 +285,41 @@ class Traversal:
         """``order(("age", "desc"), "name")``; on values, ``order()`` or ``order("desc")``. Ends with the element's key."""
         t = self._load()
         if t.kind == VALUE:
-            return t._new(t.df.orderBy(F.col("_x").desc() if by == ("desc",) else F.col("_x")))
+            now = F.col("_x").desc() if by == ("desc",) else F.col("_x")
+            return t._ranked([now]) if t.scope else t._new(t.df.orderBy(now))
         keys = [(b, "asc") if isinstance(b, str) else b for b in by]
         column = lambda k: F.col(f"`p:{k}`") if k in (*t._names(), "id", "label") else t._property(k)
         cols = [column(k).desc() if d == "desc" else F.rand(1) if d == "shuffle" else column(k).asc() for k, d in keys]
-        return t._new(t.df.orderBy(*cols, *t._key()))
+        return t._ranked([*cols, *t._key()]) if t.scope else t._new(t.df.orderBy(*cols, *t._key()))
+
+    def _scoped(self) -> Window:
+        return Window.partitionBy(*[f"`{c}`" for c in self.scope])
+
+    def _ranked(self, by: list[Column]) -> Traversal:
+        """The order of the traversers of each evaluation, as a column that later steps carry along."""
+        return self._new(self.df.withColumn("_rank", F.row_number().over(self._scoped().orderBy(*by))))
+
+    def _cut(self, a: int, b: int | None = None) -> Traversal:
+        """Traversers ``a`` to ``b - 1`` of each evaluation, in the order of ``order`` if there was one, then of the elements' keys."""
+        by = [c for c in ("_rank", *self._key()) if c in self.df.columns]
+        df = self.df.withColumn("_at", F.row_number().over(self._scoped().orderBy(*by)))
+        return self._new(df.where(F.col("_at") > a if b is None else (F.col("_at") > a) & (F.col("_at") <= b)).drop("_at"))
 
     def limit(self, n: int) -> Traversal:
-        return self._new(self.df.limit(n))
+        return self._cut(0, n) if self.scope else self._new(self.df.limit(n))
 
     def skip(self, n: int) -> Traversal:
-        return self._new(self.df.offset(n))
+        return self._cut(n) if self.scope else self._new(self.df.offset(n))
 
     def range(self, a: int, b: int) -> Traversal:
+        if self.scope:
+            return self._cut(a, b if b >= 0 else None)
         return self._new(self.df.offset(a).limit(max(0, b - a)) if b >= 0 else self.df.offset(a))
 
     def tail(self, n: int = 1) -> Traversal:
+        if self.scope:
+            by = [F.col(c).desc() for c in ("_rank", *self._key()) if c in self.df.columns]
+            return self._new(self.df.withColumn("_at", F.row_number().over(self._scoped().orderBy(*by))).where(F.col("_at") <= n).drop("_at"))
         return self.skip(max(0, self.df.count() - n))
 
     # -- values --------------------------------------------------------------------------------------------------------------
@@ -415,7 +443,7 @@ class Traversal:
         """Per traverser the first branch that has a result."""
         rest, parts = self, []
         for n in nested:
-            parts.append(n.on(rest))
+            parts.append(rest.local(n))
             rest = rest.not_(n)
         return self._merge(parts)
 
@@ -426,7 +454,12 @@ class Traversal:
         return self.coalesce(nested, Steps())
 
     def local(self, nested: Steps) -> Traversal:
-        return nested.on(self)
+        """``nested`` for every traverser by itself."""
+        if not _barrier(nested):
+            return nested.on(self)
+        own = f"_t{sum(c.startswith('_t') for c in self.df.columns)}"
+        inner = nested.on(self._new(self.df.withColumnRenamed("_rank", f"{own}r").withColumn(own, F.monotonically_increasing_id()), scope=(own,)))
+        return inner._new(inner.df.drop(own, "_rank").withColumnRenamed(f"{own}r", "_rank"), scope=self.scope) if isinstance(inner, Traversal) else inner
 
     flatMap = local
 

@@ -37,6 +37,11 @@ class Relation:
 TRUE, FALSE = Relation((), None, False), Relation((), None, True)
 
 
+def _scope(bound: list[str]) -> tuple[str, ...]:
+    """A filter is asked once per binding, so ``dedup`` and ``limit`` act within one."""
+    return tuple(f"as:{n}" for n in bound)
+
+
 def _atom(graph: PropertyGraph, atom: Atom) -> Relation:
     g = Source(graph)
     bound: list[str] = []
@@ -45,6 +50,7 @@ def _atom(graph: PropertyGraph, atom: Atom) -> Relation:
         if len(atom.start) == 1 and isinstance(atom.start[0], Var):
             t = g.V().as_(atom.start[0].name)
             bound.append(atom.start[0].name)
+            t = t._new(t.df, scope=_scope(bound))
         elif any(isinstance(a, Var) for a in atom.start):
             raise ValueError("g.V takes one variable or ids")
         else:
@@ -69,6 +75,7 @@ def _atom(graph: PropertyGraph, atom: Atom) -> Relation:
             else:
                 t = t.as_(var)
                 bound.append(var)
+                t = t._new(t.df, scope=_scope(bound))
             continue
         inner = {v for a in args if isinstance(a, tuple) and a[:1] == ("steps",) for _, x in a[1] for v in x if isinstance(v, Var)}
         if {v.name for v in inner} - set(bound):
