@@ -557,3 +557,30 @@ def serialize_counts(g):
     found = materialize(found, "subsets")
     members = found.select("subset_id", F.explode("vids").alias("vid"))
     return subset_counts(g, members).join(found.select("subset_id", _mask()), "subset_id").select("mask", "n_vertices", "n_edges")
+
+
+# -- the same over whole tables ---------------------------------------------------------------------------------------------------------
+
+
+def whole(name: str, view: Callable[[SparkSession, str], PropertyGraph], of: Callable[[PropertyGraph], DataFrame], sql: str | None = None) -> None:
+    """Register ``of`` over a view without the selection of its small one; SQL only where it is fast enough."""
+    QUERIES[f"{name}_all"] = lambda spark, folder: of(view(spark, folder))
+    if sql:
+        ORACLE[f"{name}_all"] = sql
+
+
+_NATIONS = """WITH RECURSIVE nv AS (SELECT CAST(n_nationkey AS BIGINT) AS vid, n_regionkey FROM nation),
+ sold AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+  JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
+ ne AS (SELECT a.vid AS src, b.vid AS dst FROM nv a JOIN nv b ON a.n_regionkey = b.n_regionkey AND a.vid < b.vid
+  UNION SELECT src, dst FROM sold WHERE src <> dst AND n * (SELECT count(*) FROM sold) > (SELECT sum(n) FROM sold)),
+ nu AS (SELECT src, dst FROM ne UNION SELECT dst, src FROM ne),
+ near AS (SELECT vid, coalesce(sum(CAST(1 AS BIGINT) << dst), 0)::BIGINT AS others FROM nv LEFT JOIN nu ON src = vid GROUP BY 1)"""
+#: Sets grown by one later vertex at a time, as bit masks; ``{}`` is the test of a mask against the neighbours of the new vertex.
+_GROWN = _NATIONS + """, k AS (SELECT CAST(0 AS BIGINT) AS mask, CAST(-1 AS BIGINT) AS last UNION ALL SELECT mask | (CAST(1 AS BIGINT) << vid), vid FROM k JOIN near ON vid > last WHERE {}), s AS (SELECT mask, CAST(bit_count(mask) AS INT) AS size FROM k)"""
+_CLIQUES, _APART = _GROWN.format("(mask & others) = mask"), _GROWN.format("(mask & others) = 0")
+whole("so_exists_forall", views.all_nations_graph, so_exists_forall, _NATIONS + " SELECT EXISTS (SELECT 1 FROM nv x WHERE NOT EXISTS (SELECT 1 FROM nv y WHERE x.vid <> y.vid AND NOT EXISTS (SELECT 1 FROM nu WHERE src = x.vid AND dst = y.vid))) AS holds")
+whole("vset_cliques", views.all_nations_graph, vset_cliques, _CLIQUES + " SELECT mask, size FROM s")
+whole("vset_independent", views.all_nations_graph, vset_independent, _APART + " SELECT mask, size FROM s WHERE size > 1")
+whole("vset_size2", views.all_nations_graph, vset_size2, _NATIONS + " SELECT (CAST(1 AS BIGINT) << a.vid) | (CAST(1 AS BIGINT) << b.vid) AS mask, CAST(2 AS INT) AS size FROM nv a JOIN nv b ON a.vid < b.vid")
+whole("serialize_counts", views.all_nations_graph, serialize_counts, _CLIQUES + ", h AS (SELECT s.mask, vid FROM s JOIN nv ON (mask >> vid) & 1 = 1 WHERE size >= 2) SELECT h.mask, count(*) AS n_vertices, (SELECT count(*) FROM ne JOIN h a ON a.vid = ne.src AND a.mask = h.mask JOIN h b ON b.vid = ne.dst AND b.mask = h.mask) AS n_edges FROM h GROUP BY 1")

@@ -50,19 +50,23 @@ def trade_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     return PropertyGraph(_union(v), _union(e))
 
 
-def nation_graph(spark: SparkSession, folder: str, n: int = 10) -> PropertyGraph:
-    """The first ``n`` nations; an edge to a later nation of the same region, and to one that sold it more lines than the average pair."""
-    nations = table(spark, folder, "nation").where(F.col("n_nationkey") < n).select(F.col("n_nationkey").cast("long").alias("vid"), "n_name", "n_regionkey")
+def nation_graph(spark: SparkSession, folder: str, n: int | None = 10) -> PropertyGraph:
+    """The first ``n`` nations, or all; an edge to a later nation of the same region, and to one that sold it more lines than the average pair."""
+    nations = table(spark, folder, "nation").where(F.lit(True) if n is None else F.col("n_nationkey") < n).select(F.col("n_nationkey").cast("long").alias("vid"), "n_name", "n_regionkey")
     a, b = nations.select(F.col("vid").alias("src"), F.col("n_regionkey").alias("ra")), nations.select(F.col("vid").alias("dst"), F.col("n_regionkey").alias("rb"))
     same = a.join(b, (F.col("ra") == F.col("rb")) & (F.col("src") < F.col("dst"))).select("src", "dst")
     c, o, i, s = (table(spark, folder, x) for x in ("customer", "orders", "lineitem", "supplier"))
     sold = i.join(o, i["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
-    sold = sold.where((F.col("c_nationkey") < n) & (F.col("s_nationkey") < n)).groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).count()
+    sold = sold.where(F.lit(True) if n is None else (F.col("c_nationkey") < n) & (F.col("s_nationkey") < n)).groupBy(F.col("c_nationkey").cast("long").alias("src"), F.col("s_nationkey").cast("long").alias("dst")).count()
     all_pairs = sold.agg(F.sum("count").alias("lines"), F.count(F.lit(1)).alias("pairs"))  # one row
     sold = sold.crossJoin(F.broadcast(all_pairs)).where((F.col("count") * F.col("pairs") > F.col("lines")) & (F.col("src") != F.col("dst"))).select("src", "dst")
     return PropertyGraph(nations.select("vid", F.lit("nation").alias("label"), F.col("n_name").alias("name"), F.col("n_regionkey").cast("int").alias("community")), materialize(same.union(sold).distinct(), "nation"))
 
 
+def all_nations_graph(spark: SparkSession, folder: str) -> PropertyGraph:
+    return nation_graph(spark, folder, None)
+
+
 def people_graph(spark: SparkSession, folder: str) -> PropertyGraph:
     """The vertex and edge tables: communities from ``graph_vertices``, topology from ``graph_edges``.
 
