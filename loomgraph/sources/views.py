@@ -9,8 +9,8 @@ from loomgraph.model import PropertyGraph
 from loomgraph.storage import materialize, table
 
 
-def part_graph(spark: SparkSession, folder: str) -> PropertyGraph:
-    """Parts, each linked to the next one of its order when bought in quantity; communities are brands.
+def part_graph(spark: SparkSession, folder: str, least: int | None = 43) -> PropertyGraph:
+    """Parts, each linked to the next one of its order when bought in quantity (``least``), or to the next at all; communities are brands.
 
     The derived edges are written once: algorithms read them many times.
     """
@@ -21,10 +21,14 @@ def part_graph(spark: SparkSession, folder: str) -> PropertyGraph:
         F.col("p_type").alias("type"), F.col("p_size").cast("long").alias("size"), F.col("p_retailprice").alias("price"),
     )
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    steps = items.where("l_quantity >= 43").select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
+    steps = items.where(F.lit(True) if least is None else F.col("l_quantity") >= least).select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(order).alias("dst"))
     return PropertyGraph(vertices, materialize(steps.where("dst IS NOT NULL AND src <> dst").distinct(), "part"))
 
 
+def all_items_graph(spark: SparkSession, folder: str) -> PropertyGraph:
+    return part_graph(spark, folder, None)
+
+
 REGION, NATION, CUSTOMER, SUPPLIER = (k * 10**9 for k in (1, 2, 3, 4))
 
 

@@ -30,3 +30,54 @@ def test_all_nations(spark, monkeypatch):
     assert E.queries()["vset_size2_all"](spark, SMALL).count() == 300
     hub = any(all(a == b or frozenset((a, b)) in near for b in ids) for a in ids)
     assert E.queries()["so_exists_forall_all"](spark, SMALL).first()["holds"] == hub
+
+
+def _reach(out, start):
+    seen, todo = {start}, [start]
+    while todo:
+        for b in out.get(todo.pop(), ()):
+            if b not in seen:
+                seen.add(b)
+                todo.append(b)
+    return seen
+
+
+@pytest.fixture(scope="module")
+def items(spark, tmp_path_factory):
+    """60 parts of 4 brands; orders in which most lines are small."""
+    import random
+
+    rng, d = random.Random(7), tmp_path_factory.mktemp("items")
+    part = [(k, f"part {k}", f"brand {k % 4}", "t", k % 50, 900.0 + k) for k in range(60)]
+    lines = [(o, n, rng.randrange(45), 1, 10.0, float(rng.randrange(1, 51))) for o in range(14) for n in range(rng.randrange(1, 6))]
+    spark.createDataFrame(part, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(str(d / "part.parquet"))
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double").write.parquet(str(d / "lineitem.parquet"))
+    edges = {(a[2], b[2]) for a, b in zip(lines, lines[1:]) if a[0] == b[0] and a[2] != b[2]}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    return str(d), edges, {v: _reach(out, v) for v in range(60)}
+
+
+def test_all_items(spark, items):
+    folder, edges, reach = items
+    q = lambda name: E.queries()[name](spark, folder)
+    assert {tuple(r) for r in views.all_items_graph(spark, folder).edges.select("src", "dst").collect()} == edges
+    und = {}
+    for a, b in edges:
+        und.setdefault(a, set()).add(b)
+        und.setdefault(b, set()).add(a)
+    assert {r["vid"]: r["component"] for r in q("wcc_all").collect()} == {v: min(_reach(und, v)) for v in range(60)}
+    scc = {v: min(w for w in reach[v] if v in reach[w]) for v in range(60)}
+    assert {r["vid"]: r["component"] for r in q("scc_all").collect()} == scc
+    assert {tuple(r) for r in q("scc_dag_all").select("src", "dst").collect()} == {(scc[a], scc[b]) for a, b in edges if scc[a] != scc[b]}
+    hub = min(reach, key=lambda v: (-sum(a == v for a, _ in edges), v))
+    assert {r["vid"] for r in q("bfs_set_all").select("vid").collect()} == reach[hub]
+    assert {(r["cu"], r["cv"], r["n_edges"]) for r in q("boundary_pairs_all").collect()} == {(x, y, n) for x in range(4) for y in range(4) if x != y and (n := sum((a % 4, b % 4) == (x, y) for a, b in edges))}
+    inner = {}
+    for a, b in edges:
+        if a % 4 == b % 4:
+            inner.setdefault(a, set()).add(b)
+    ends = {v for a, b in edges if a % 4 != b % 4 for v in (a, b)}
+    want = {(a, b, "cross") for a, b in edges if a % 4 != b % 4} | {(a, b, "inside") for a in ends for b in _reach(inner, a) & ends if a != b}
+    assert {tuple(r) for r in q("enriched_boundary_all").select("src", "dst", "kind").collect()} == want
