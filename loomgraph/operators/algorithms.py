@@ -231,30 +231,44 @@ def dag_stats(dag: PropertyGraph) -> DataFrame:
     return dag.counts().join(top).join(degree)  # four one-row aggregates side by side
 
 
-def reachable(graph: PropertyGraph, pairs: Iterable[tuple[int, int]], local_edges: int = LOCAL_EDGES) -> DataFrame:
+def reachable(graph: PropertyGraph, pairs: Iterable[tuple[int, int]] | DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(src, dst, reachable)`` for the given pairs of vertices, with the reflexive pair reachable.
 
     Pairs in one component are; pairs whose source lies on a later level than the target are not; the others are searched
-    on the component graph, all sources at once. A pair with an unknown vertex is not.
+    on the component graph, all sources at once. A pair with an unknown vertex is not. ``pairs`` may also be a frame
+    ``(src, dst)`` of any size, whose search stays distributed.
     """
     spark = graph.spark
-    pairs = sorted({(int(a), int(b)) for a, b in pairs})
-    asked = spark.createDataFrame(pairs, "src long, dst long")
+    many = isinstance(pairs, DataFrame)
+    asked = pairs.select("src", "dst").distinct() if many else spark.createDataFrame(sorted({(int(a), int(b)) for a, b in pairs}), "src long, dst long")
     parts = materialize(scc(graph, local_edges), "scc")
     dag = condensed(graph, parts)
     dag = PropertyGraph(materialize(dag.vertices, "dag"), materialize(dag.edges, "dag"))
     ranks = levels(dag, local_edges)
     where = parts.join(ranks.withColumnRenamed("vid", "component"), "component")
     asked = asked.join(where.toDF("sa", "src", "la"), "src", "left").join(where.toDF("sb", "dst", "lb"), "dst", "left")
-    open_pairs = asked.where("sa <> sb AND la < lb").select("sa").distinct().collect()  # as many as pairs were given
-    found = bfs(dag, [r["sa"] for r in open_pairs], local_edges=local_edges)
+    open_pairs = asked.where("sa <> sb AND la < lb").select("sa").distinct()
+    starts = open_pairs.withColumnRenamed("sa", "vid") if many else [r["sa"] for r in open_pairs.collect()]  # as many as pairs were given
+    found = bfs(dag, starts, local_edges=local_edges)
     found = found.select(F.col("origin").alias("sa"), F.col("vid").alias("sb"), F.lit(True).alias("hit"))
     return asked.join(found, ["sa", "sb"], "left").select("src", "dst", F.coalesce(F.col("sa") == F.col("sb"), F.lit(False)).alias("same"), "hit", "la", "lb").select(
         "src", "dst", (F.col("same") | (F.coalesce("hit", F.lit(False)) & (F.col("la") < F.col("lb")))).alias("reachable"))
 
 
-def closure(graph: PropertyGraph, sources: Iterable[int], targets: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """``(src, dst)``: what each of ``sources`` reaches, itself included, kept to ``targets (vid)`` if given."""
+def closure(graph: PropertyGraph, sources: Iterable[int] | DataFrame, targets: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+    """``(src, dst)``: what each of ``sources`` reaches, itself included, kept to ``targets (vid)`` if given.
+
+    ``sources`` may also be a frame ``(vid)`` of any size: its components are searched on the component graph, each once, and their
+    members joined at the end.
+    """
+    if isinstance(sources, DataFrame):
+        parts = materialize(scc(graph, local_edges), "scc")
+        dag = condensed(graph, parts)
+        dag = PropertyGraph(materialize(dag.vertices, "dag"), materialize(dag.edges, "dag"))
+        begin = sources.select(F.col("vid").alias("src")).distinct().join(parts.toDF("src", "origin"), "src")
+        found = bfs(dag, begin.select(F.col("origin").alias("vid")), local_edges=local_edges).select("origin", F.col("vid").alias("component"))
+        ends = parts if targets is None else parts.join(targets.select("vid"), "vid", "left_semi")
+        return begin.join(found, "origin").join(ends.select("component", F.col("vid").alias("dst")), "component").select("src", "dst")
     found = bfs(graph, sources, local_edges=local_edges).select(F.col("origin").alias("src"), F.col("vid").alias("dst"))
     return found if targets is None else found.join(targets.select(F.col("vid").alias("dst")), "dst", "left_semi").select("src", "dst")
 

@@ -591,3 +591,26 @@ _FAST = {boundary_vertices, boundary_pairs, quotient_wcc, so_exists_exists, so_f
 for _of in (wcc, wcc_numbered, wcc_stats, scc, scc_dag, scc_levels, dag_stats, bfs_dist, bfs_set, bfs_stats, bfs_reverse, shortest_path, boundary_vertices, boundary_pairs, quotient_wcc, enriched_boundary,
             so_exists_exists, so_forall_exists, so_forall_forall, wcc_filter, scc_filter, scc_exists_price, community_filter):
     whole(_of.__name__, views.all_items_graph, _of, ORACLE[_of.__name__].replace(_PART, _ITEMS) if _of in _FAST else None)
+
+
+def _asked(g: PropertyGraph) -> DataFrame:
+    return g.vertices.where("vid % 20 = 0").select("vid")
+
+
+def reachable_all(g):
+    """All pairs of the parts whose id is divisible by 20."""
+    return A.reachable(g, _asked(g).toDF("src").crossJoin(_asked(g).toDF("dst")))
+
+
+def closure_to_targets_all(g):
+    return A.closure(g, _asked(g), g.vertices.where("price > 930").select("vid"))
+
+
+whole("reachable", views.all_items_graph, reachable_all)
+whole("closure_to_targets", views.all_items_graph, closure_to_targets_all)
+whole("path", trade, lambda g: g.traversal().V().hasLabel("customer").with_path().out().out().simplePath().path().select(F.concat_ws(",", "path").alias("path")),
+      f"WITH RECURSIVE {_TRADE} SELECT a.src || ',' || a.dst || ',' || b.dst AS path FROM te a JOIN te b ON a.dst = b.src JOIN tv ON a.src = tv.vid WHERE tv.label = 'customer'")
+whole("repeat_times", trade, lambda g: g.traversal().V().hasLabel("customer").repeat(__.out(), times=3).dedup().frame(),
+      f"WITH RECURSIVE {_TRADE} SELECT DISTINCT c.dst AS vid FROM te a JOIN te b ON a.dst = b.src JOIN te c ON b.dst = c.src JOIN tv ON a.src = tv.vid WHERE tv.label = 'customer'")
+whole("repeat_emit", trade, lambda g: g.traversal().V().hasLabel("supplier").repeat(__.out(), times=3, emit=True).frame(),
+      f"WITH RECURSIVE {_TRADE}, r AS (SELECT vid, 0 AS k FROM tv WHERE label = 'supplier' UNION ALL SELECT dst, k + 1 FROM r JOIN te ON src = vid WHERE k < 3) SELECT CAST(vid AS BIGINT) AS vid FROM r WHERE k > 0")

@@ -1,9 +1,9 @@
 """Queries over whole tables, against brute force."""
 
 import pytest
-from pyspark.sql import functions as F
 
 import __spark_entry__ as E
+from loomgraph.operators import algorithms as A
 from loomgraph.plans import subsets
 from loomgraph.sources import views
 
@@ -81,3 +81,16 @@ def test_all_items(spark, items):
     ends = {v for a, b in edges if a % 4 != b % 4 for v in (a, b)}
     want = {(a, b, "cross") for a, b in edges if a % 4 != b % 4} | {(a, b, "inside") for a in ends for b in _reach(inner, a) & ends if a != b}
     assert {tuple(r) for r in q("enriched_boundary_all").select("src", "dst", "kind").collect()} == want
+
+
+def test_all_starts(spark, items):
+    folder, edges, reach = items
+    asked = [v for v in range(60) if v % 20 == 0]
+    got = E.queries()["reachable_all"](spark, folder).collect()
+    assert {(r["src"], r["dst"], r["reachable"]) for r in got} == {(a, b, b in reach[a]) for a in asked for b in asked} and len(got) == 9
+    got = [tuple(r) for r in E.queries()["closure_to_targets_all"](spark, folder).select("src", "dst").collect()]
+    assert sorted(got) == sorted((a, b) for a in asked for b in reach[a] if 900 + b > 930)
+    g = views.all_items_graph(spark, folder)
+    pairs = [(a, b) for a in range(0, 60, 7) for b in range(60)]
+    got = A.reachable(g, spark.createDataFrame(pairs, "src long, dst long")).collect()
+    assert {(r["src"], r["dst"]): r["reachable"] for r in got} == {(a, b): b in reach[a] for a, b in pairs}
