@@ -8,6 +8,7 @@ steps, paths, the origin of a nested traversal. Multiplicity is that of the bag
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.predicates import P, predicate
 from loomgraph.functions.values import VALUE_STEPS
 from loomgraph.model import EDGE_CORE, VERTEX_CORE, PropertyGraph
+from loomgraph.storage import materialize
 
 VERTEX, EDGE, VALUE = "vertex", "edge", "value"
 
@@ -463,14 +465,25 @@ class Traversal:
 
     flatMap = local
 
-    def repeat(self, nested: Steps, times: int | None = None, until: Steps | None = None, emit: bool = False, limit: int = 32) -> Traversal:
+    def repeat(self, nested: Steps, times: int | None = None, until: Steps | None = None, emit: bool = False, limit: int | None = None) -> Traversal:
         """``times`` rounds, or rounds ``until`` a test holds; ``emit`` also keeps what every round reaches.
 
-        Without ``times`` at most ``limit`` rounds are planned; each round is a join, so the bound is the caller's to raise.
+        Without ``times`` rounds go on until no traverser is left, each written once. On a cycle that never happens: after more rounds than
+        there are elements to stand on, ValueError is raised. A ``limit`` ends the rounds before that, with a warning if it leaves traversers.
         """
-        now, out = self, []
-        for _ in range(times if times is not None else limit):
-            now = nested.on(now)
+        now, out, done, most = self, [], 0, None
+        while times is None or done < times:
+            if times is None:
+                now = now._new(materialize(now.df, "repeat"))
+                if now.df.isEmpty():
+                    break
+                if limit is not None and done >= limit:
+                    warnings.warn(f"repeat stopped after {limit} rounds with traversers left", stacklevel=2)
+                    break
+                most = self._elements() if most is None and done >= 8 else most
+                if most is not None and done > most:
+                    raise ValueError(f"repeat goes round a cycle: traversers are left after {done} rounds")
+            now, done = nested.on(now), done + 1
             if until is not None:
                 out.append(now.where(until))
                 now = now.not_(until)
@@ -480,6 +493,10 @@ class Traversal:
             return now
         return self._merge(out) if out else self
 
+    def _elements(self) -> int | None:
+        """How many places a traverser can stand on; None for values, which have no bound."""
+        return {VERTEX: self.graph.vertices.count, EDGE: lambda: 2 * self.graph.edges.count(), VALUE: lambda: None}[self.kind]()
+
     def match(self, *patterns: tuple[str, str, str]) -> Traversal:
         """Conjunction of edge patterns ``(a, label, b)`` over names; the first name is the current vertex."""
         t = self.as_(patterns[0][0])
