@@ -1,31 +1,72 @@
-"""Has this key been seen before? A bit filter routes what is certainly new; the rest is looked up exactly."""
+"""Has this key been seen before? A slot filter in order of arrival routes what is certainly new; the rest is looked up exactly."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from loomgraph.storage import arrow_schema, materialize
 
 #: Bits that ``bitmap_construct_agg`` holds in one value, and its bytes.
 _BITS, _BYTES = 32768, 4096
+#: Rows and bytes of keys that a worker holds while it settles repeats.
+SPLIT_ROWS, SPLIT_BYTES = 1 << 18, 64 << 20
+#: Before every arrival, for keys that are stored; after every arrival, for a null ``request_id``.
+_STORED, _LAST = -(1 << 63), (1 << 63) - 1
+
+
+def _settle(out: pa.Schema):
+    """Mark what repeats an earlier request of the same stretch of input, by full keys; of every key one arrival stays open."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, size = [], 0, 0
 
+        def flush() -> Iterator[pa.RecordBatch]:
+            ids, kinds, keys = (pa.concat_arrays([b.column(i) for b in held]) for i in range(3))
+            kind, key = kinds.dictionary_encode(null_encoding="encode"), keys.dictionary_encode()
+            code = kind.indices.to_numpy() * len(key.dictionary) + key.indices.to_numpy()
+            _, group = np.unique(code, return_inverse=True)
+            at = ids.to_numpy()
+            first = np.full(group.max() + 1, _LAST)
+            np.minimum.at(first, group, at)
+            settled = pa.array(at > first[group])
+            whole = pa.RecordBatch.from_arrays([ids, kinds, pc.if_else(settled, pa.scalar(None, keys.type), keys), settled], schema=out)
+            for start in range(0, whole.num_rows, 10_000):
+                yield whole.slice(start, 10_000)
 
-def _place(key: Column, blocks: int, planes: int) -> list[Column]:
-    """The block of a key, and its bit in each plane of that block."""
-    block = F.pmod(F.xxhash64(key, F.lit(-1)), F.lit(blocks)).alias("block")
-    return [block, *[F.pmod(F.xxhash64(key, F.lit(p)), F.lit(_BITS)).alias(f"bit{p}") for p in range(planes)]]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            rows, size = rows + b.num_rows, size + b.nbytes
+            if rows >= SPLIT_ROWS or size >= SPLIT_BYTES:
+                yield from flush()
+                held, rows, size = [], 0, 0
+        if held:
+            yield from flush()
 
+    return run
 
-def _probe(rows: DataFrame, key: Column, filters: DataFrame, blocks: int, planes: int, flag: str, small: bool) -> DataFrame:
-    """Add ``flag``: whether the key's block has its bit in every plane. A filter row holds one block's planes."""
-    block, *bits = _place(key, blocks, planes)
-    filters = filters.select(F.col("block").alias("_block"), *[F.col(f"plane{p}").alias(f"_plane{p}") for p in range(planes)])
-    joined = rows.withColumn("_block", block).join(F.broadcast(filters) if small else filters, "_block", "left")
-    found = F.lit(True)
-    for p, bit in enumerate(bits):
-        byte = F.ascii(F.decode(F.substring(F.col(f"_plane{p}"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
-        mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
-        found = found & F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))
-    return joined.withColumn(flag, found).drop("_block", *[f"_plane{p}" for p in range(planes)])
+
+def _marked(rows: DataFrame, slots: DataFrame, blocks: int, small: bool) -> DataFrame:
+    """Add ``hit``: whether the ``slot`` of a row is among ``slots``; with ``small`` it also holds for a few others.
+
+    ``small``: ``slots`` become a bitmap of ``blocks`` times 4 KB, which is broadcast. Otherwise both sides are shuffled by slot.
+    """
+    if not small:
+        return rows.join(slots.distinct().withColumn("hit", F.lit(True)), "slot", "left").withColumn("hit", F.col("hit").isNotNull())
+    block, bit = F.pmod("slot", F.lit(blocks)), F.pmod(F.floor(F.col("slot") / blocks), F.lit(_BITS))
+    bits = slots.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
+    byte = F.ascii(F.decode(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
+    mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
+    joined = rows.withColumn("_block", block).join(F.broadcast(bits), "_block", "left")
+    return joined.withColumn("hit", F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("_block", "_bits")
 
 
 def seen_before(
@@ -33,7 +74,7 @@ def seen_before(
     stored: DataFrame,
     stored_kind: str = "edge",
     bits_per_key: int = 16,
-    planes: int = 2,
+    slots_per_key: int = 64,
     max_broadcast_bytes: int = 64 << 20,
 ) -> DataFrame:
     """``(request_id, kind, seen, route, mistake)``: one row per request with a key.
@@ -43,53 +84,58 @@ def seen_before(
     that are null are no case and give no row; an empty string is a key. ``request_id`` is unique; rows that repeat an id
     and key count as one arrival, and a null id comes after all others.
 
-    Two filters are built: slots that at least two requests hash to, and slots that a stored key hashes to. A
-    request outside both is ``new`` by ``route='filter'``. All others carry their full key to an exact lookup in the tables
-    on disk (``route='exact'``). There ``mistake`` logs every positive that the lookup disproved: ``collision`` (key neither
-    stored nor repeated) or ``first`` (the first of a repeated key); otherwise it is null.
+    Every worker first settles, by full keys, the requests that repeat an earlier one of its own stretch of input
+    (``route='exact'``, seen), so a key with a third of all rows goes on as one row a stretch. The others take a slot,
+    one of ``slots_per_key`` times as many as there are keys. The filter keeps the first arrival of every slot, or that a stored
+    key has it; it is built from (slot, id) pairs alone. The first arrival in a slot without a stored key is new
+    (``route='filter'``) and stays where it is. All others are positive and carry their full key to an exact lookup among the keys
+    on disk that share their slot (``route='exact'``). There ``mistake`` is ``collision`` for every positive that the
+    lookup disproved; otherwise it is null.
 
-    A filter has blocks of 4 KB a plane, as many as the number of keys asks for. Up to ``max_broadcast_bytes`` for both
-    together they are broadcast; larger ones are joined by block, which shuffles requests but keeps the filters as selective at any
-    size. Hot keys are merged before each shuffle of keys, and verdicts are joined by the unique ``request_id``.
+    Rows of slots with a single arrival are kept out of the shuffle of full keys, and stored keys whose slot no
+    request has out of every shuffle, by bitmaps of ``bits_per_key`` bits a request, broadcast if they have at most
+    ``max_broadcast_bytes`` together. Larger ones are replaced by semi-joins on the slot, with the same verdicts.
     """
-    rows = requests.select("request_id", "kind", "key").where(F.col("key").isNotNull())
+    own = lambda kind: F.xxhash64(kind, "key")
+    rows = requests.select(F.coalesce("request_id", F.lit(_LAST)).cast("long").alias("id"), "kind", "key").where(F.col("key").isNotNull())
     kept = stored.select("key").where(F.col("key").isNotNull())
-    size = lambda n: max(1, -(-n * bits_per_key // (planes * _BITS)))
-    b_rows, b_kept = size(rows.count()), size(kept.count())
-    small = (b_rows + b_kept) * planes * _BYTES <= max_broadcast_bytes
-    own = F.concat_ws("\x1f", "kind", "key")
-    block, *bits = _place(own, b_rows, planes)
-    arrivals = rows.select(block, F.posexplode(F.array(*bits)).alias("plane", "bit"))
-    repeated = arrivals.groupBy("block", "plane", "bit").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    repeated = repeated.groupBy("block").agg(*[F.bitmap_construct_agg(F.when(F.col("plane") == p, F.col("bit"))).alias(f"plane{p}") for p in range(planes)])
-    keyed = kept.select(*_place(F.concat(F.lit(stored_kind + "\x1f"), F.col("key")), b_kept, planes))
-    keyed = keyed.groupBy("block").agg(*[F.bitmap_construct_agg(f"bit{p}").alias(f"plane{p}") for p in range(planes)])
-    probed = _probe(rows, own, repeated, b_rows, planes, "maybe_repeated", small)
-    probed = _probe(probed, own, keyed, b_kept, planes, "hit_stored", small)
-    probed = probed.withColumn("positive", F.col("maybe_repeated") | (F.col("hit_stored") & (F.col("kind") == stored_kind)))
-    positives = probed.where("positive").select("request_id", "kind", "key")
-    firsts = positives.groupBy("kind", "key").agg(F.min("request_id").alias("request_id"), F.count(F.lit(1)).alias("n"))
-    disk = kept.distinct().select(F.lit(stored_kind).alias("kind"), "key")
-    new = firsts.join(disk, ["kind", "key"], "left_anti").select("kind", "key", "request_id", "n")
-    new = new.select(F.col("kind").alias("_k"), F.col("key").alias("_key"), F.col("request_id").alias("_id"), "n")
-    match = positives["request_id"].eqNullSafe(new["_id"]) & (positives["kind"] == new["_k"]) & (positives["key"] == new["_key"])
-    exact = positives.join(new, match, "left").select(
-        "request_id", "kind", F.col("n").isNull().alias("seen"), F.lit("exact").alias("route"), F.when(F.col("n") == 1, "collision").when(F.col("n") > 1, "first").alias("mistake")
-    )
-    negatives = probed.where(~F.col("positive")).select("request_id", "kind", F.lit(False).alias("seen"), F.lit("filter").alias("route"), F.lit(None).cast("string").alias("mistake"))
-    return exact.unionByName(negatives)
+    fields = [("id", T.LongType()), ("kind", T.StringType()), ("key", T.StringType()), ("settled", T.BooleanType())]
+    schema = T.StructType([T.StructField(*f) for f in fields])
+    swept = rows.mapInArrow(_settle(arrow_schema(schema)), schema).withColumn("hash", F.when(~F.col("settled"), own("kind")))
+    swept = materialize(swept, "arrivals")
+    n_rows = swept.count()
+    slots = 1 << max(1, (slots_per_key * (n_rows + kept.count())).bit_length())
+    blocks = max(1, -(-n_rows * bits_per_key // _BITS))
+    small = 2 * blocks * _BYTES <= max_broadcast_bytes
+    slot = lambda h: F.pmod(h, F.lit(slots)).alias("slot")
+    arrivals = swept.where(~F.col("settled")).select("id", "kind", "key", slot(F.col("hash")))
+    asked = arrivals.where(F.col("kind") == stored_kind).select("slot")
+    kept = kept.select("key", slot(own(F.lit(stored_kind))))
+    kept = materialize(_marked(kept if small else kept.distinct(), asked, blocks, small).where("hit").select("slot", "key"), "stored")
+    pairs = arrivals.select("slot", "id").unionByName(kept.select("slot", F.lit(_STORED).alias("id")))
+    busy = pairs.groupBy("slot").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("slot")
+    marked = _marked(arrivals, busy, blocks, small)
+    looked = marked.where("hit").select("slot", "kind", "key", "id")
+    looked = looked.unionByName(kept.distinct().select("slot", F.lit(stored_kind).alias("kind"), "key", F.lit(_STORED).alias("id")))
+    earliest = lambda *by: F.min("id").over(Window.partitionBy(*by))
+    looked = looked.withColumn("first", earliest("slot")).withColumn("same", earliest("slot", "kind", "key")).where(F.col("id") != _STORED)
+    positive, seen, none = F.col("first") < F.col("id"), F.col("same") < F.col("id"), F.lit(None).cast("string")
+    verdicts = looked.select("id", "kind", seen.alias("seen"), F.when(positive, "exact").otherwise("filter").alias("route"), F.when(positive & ~seen, "collision").alias("mistake"))
+    alone = marked.where(~F.col("hit")).select("id", "kind", F.lit(False).alias("seen"), F.lit("filter").alias("route"), none.alias("mistake"))
+    repeated = swept.where("settled").select("id", "kind", F.lit(True).alias("seen"), F.lit("exact").alias("route"), none.alias("mistake"))
+    out = repeated.unionByName(verdicts).unionByName(alone)
+    return out.select(F.when(F.col("id") != _LAST, F.col("id")).cast(requests.schema["request_id"].dataType).alias("request_id"), "kind", "seen", "route", "mistake")
 
 
 def error_rates(verdicts: DataFrame) -> DataFrame:
-    """Per kind: requests, the filter's positives, those disproved by cause, and the measured rates of wrong answers.
+    """Per kind: requests, the positives, those disproved, the negatives, and the measured rates of wrong answers of the filter.
 
-    ``false_positive_rate`` is collisions among the requests whose key is neither repeated nor stored.
+    ``false_positive_rate`` is collisions among the requests whose key is neither repeated nor stored, ``wrong_rate`` among all.
     """
     of = lambda c: F.count(F.when(c, 1))
     out = verdicts.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n_requests"), of(F.col("seen")).alias("n_seen"), of(F.col("route") == "exact").alias("n_positive"),
-        of(F.col("mistake") == "collision").alias("n_collisions"), of(F.col("mistake") == "first").alias("n_firsts"), of(F.col("route") == "filter").alias("n_negative"),
+        of(F.col("mistake") == "collision").alias("n_collisions"), of(F.col("route") == "filter").alias("n_negative"),
     )
-    alone = F.col("n_negative") + F.col("n_collisions")
-    wrong = F.col("n_collisions") + F.col("n_firsts")
-    return out.withColumns({"false_positive_rate": F.when(alone > 0, F.col("n_collisions") / alone), "wrong_rate": wrong / F.col("n_requests")})
+    new = F.col("n_negative") + F.col("n_collisions")
+    return out.withColumns({"false_positive_rate": F.when(new > 0, F.col("n_collisions") / new), "wrong_rate": F.col("n_collisions") / F.col("n_requests")})
