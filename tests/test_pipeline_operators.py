@@ -1,6 +1,7 @@
 """Skewed totals, change feeds and orphan references against brute force on small, awkward tables."""
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
@@ -124,3 +125,18 @@ def test_cascade_levels_and_cycles(spark):
     found = cascade({"nodes": nodes, "leaves": leaves}, {"nodes": "id", "leaves": "leaf"}, keys)
     assert sorted((r["id"], r["reason"], r["level"]) for r in found["nodes"].collect()) == [(1, "missing", 0), (2, "inherited", 1), (3, "inherited", 2)]
     assert sorted((r["leaf"], r["reason"], r["level"]) for r in found["leaves"].collect()) == [(10, "inherited", 3), (12, "missing", 0)]
+
+
+@pytest.mark.parametrize("small_rows", [100, 0])
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_lookup_of_a_hot_key(spark, small_rows, how):
+    """Broadcast and salted: the same rows, hot, repeated, unknown and null keys included."""
+    from loomgraph.operators.skew import lookup
+
+    rows = [(None if i % 11 == 0 else 7 if i % 3 else i % 20, i // 2, "x") for i in range(300)]
+    table = {7: "seven", 3: "three", 18: None}
+    df = spark.createDataFrame(rows, "k long, v long, _s string")
+    got = lookup(df, spark.createDataFrame(list(table.items()), "k long, name string"), "k", how, small_rows=small_rows)
+    want = [(k, v, s, table.get(k)) for k, v, s in rows if how == "left" or k in table]
+    assert got.columns == ["k", "v", "_s", "name"] and Counter(map(tuple, got.collect())) == Counter(want)
+    assert lookup(df.limit(0), got.select("k", "name").limit(0), "k", how, small_rows=small_rows).collect() == []
