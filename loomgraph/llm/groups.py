@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import lookup
 from loomgraph.storage import materialize, release
 
 #: Edges a worker holds before it folds them into its union-find forest.
@@ -64,7 +65,7 @@ def _grid(edges: DataFrame, n: int, edges_per_cell: int) -> DataFrame:
 def _to_roots(parents: DataFrame) -> DataFrame:
     """``(v, p)`` with every ``p`` a root, by pointer doubling; roots point to themselves.
 
-    Only parents that have a parent themselves are looked up, so a root shared by a third of all vertices is no join key.
+    Only parents that have a parent themselves are looked up, and vertices that share a parent ask salted copies of it.
     """
     while True:
         children = parents.where("v <> p")
@@ -73,7 +74,7 @@ def _to_roots(parents: DataFrame) -> DataFrame:
         if inner.isEmpty():
             release(parents.sparkSession, inner)
             return parents
-        moved = parents.join(inner, parents["p"] == inner["m"], "left").select("v", F.coalesce("up", "p").alias("p"))
+        moved = lookup(parents, inner.withColumnRenamed("m", "p"), "p").select("v", F.coalesce("up", "p").alias("p"))
         moved = materialize(moved, "parents")
         release(parents.sparkSession, parents)
         release(parents.sparkSession, inner)
@@ -106,15 +107,23 @@ def connected_groups(pairs: DataFrame, left: str, right: str, edges_per_cell: in
         roots = _to_roots(materialize(reps.select("v", F.col("reps")[0].alias("p")), "parents"))
         levels.append(roots)
         apart = reps.where(F.size("reps") > 1).select("v", F.col("reps")[0].alias("a"), F.explode(F.slice("reps", 2, 1 << 30)).alias("b")).where("b <> v").select("a", "b")
-        up = lambda side: roots.select(F.col("v").alias(side), F.col("p").alias(side + "p"))
-        apart = apart.distinct().join(up("a"), "a").join(up("b"), "b")
+        apart = apart.distinct()
+        ends = materialize(roots.join(apart.select(F.explode(F.array("a", "b")).alias("v")).distinct(), "v", "left_semi"), "ends")
+        for side in "ab":  # a representative may be that of countless cells
+            apart = lookup(apart, ends.select(F.col("v").alias(side), F.col("p").alias(side + "p")), side, "inner")
         apart = apart.select(F.least("ap", "bp").alias("a"), F.greatest("ap", "bp").alias("b")).where("a <> b").distinct()
         links = materialize(apart, "links")
         release(spark, reps)
+        release(spark, ends)
     release(spark, links)
+    moves = None  # later levels first: each is much smaller than the one before it
+    for roots in reversed(levels[1:]):
+        if moves is not None:
+            roots = lookup(roots, moves, "p").select("v", F.coalesce("up", "p").alias("p"))
+        moves = materialize(roots.where("v <> p").select(F.col("v").alias("p"), F.col("p").alias("up")), "moves")
     out = levels[0].select("v", "p")
-    for later in levels[1:]:
-        out = out.join(later.select(F.col("v").alias("m"), F.col("p").alias("up")), F.col("p") == F.col("m"), "left").select("v", F.coalesce("up", "p").alias("p"))
+    if moves is not None:
+        out = lookup(out, moves, "p").select("v", F.coalesce("up", "p").alias("p"))
     return out.select(F.col("v").alias("vertex"), F.col("p").alias("group_id"))
 
 
