@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.operators.skew import is_small, lookup
 from loomgraph.operators.sweep import running_totals
-from loomgraph.storage import materialize
+from loomgraph.storage import Grown, materialize, release
 
 #: Microseconds; before and after every timestamp.
 _BEFORE = -(1 << 62)
@@ -71,13 +72,41 @@ def dangling(child: DataFrame, row_id: str, refs: Sequence[str], time: str, pare
     )
 
 
-def _plain_dangling(child: DataFrame, row_id: str, fk: ForeignKey, parent: DataFrame, time: str | None) -> DataFrame:
-    """As :func:`dangling` for an unversioned parent: an anti-join with its distinct keys."""
+def _references(child: DataFrame, row_id: str, fk: ForeignKey, time: str | None) -> tuple[DataFrame, list[str]]:
+    """``(row_id, k0, ..., period)`` of the references of one foreign key without a null, and the names of its columns there."""
     names = [f"k{i}" for i in range(len(fk.columns))]
-    rows = child.select(F.col(row_id), *[F.col(c).alias(n) for c, n in zip(fk.columns, names)], (F.date_format(time, "yyyy-MM") if time else F.lit(None).cast("string")).alias("period"))
+    period = F.date_format(time, "yyyy-MM") if time else F.lit(None).cast("string")
+    return child.select(F.col(row_id), *[F.col(c).alias(n) for c, n in zip(fk.columns, names)], period.alias("period")).dropna(subset=names), names
+
+
+def _plain_dangling(child: DataFrame, row_id: str, fk: ForeignKey, parent: DataFrame, time: str | None) -> DataFrame:
+    """As :func:`dangling` for an unversioned parent. Distinct keys are compared, so a hot one costs a row a task; then the rows are looked up."""
+    rows, names = _references(child, row_id, fk, time)
     keys = parent.select(*[F.col(c).alias(n) for c, n in zip(fk.parent_columns, names)]).dropna().distinct()
-    lost = rows.dropna(subset=names).join(keys, names, "left_anti")
-    return lost.select(row_id, F.lit(fk.name).alias("ref_column"), F.lit("missing").alias("reason"), "period")
+    asked = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n_rows"))
+    lost = materialize(asked.join(keys, names, "left_anti"), "lost")
+    return lookup(rows, lost, names, "inner", counts="n_rows").select(row_id, F.lit(fk.name).alias("ref_column"), F.lit("missing").alias("reason"), "period")
+
+
+def _heirs(tables: dict[str, DataFrame], row_ids: dict[str, str], fk: ForeignKey, gone: DataFrame, fresh: DataFrame, time: str | None, used: list) -> DataFrame:
+    """``(row_id, ref_column, period)``: references to keys all of whose parent rows are ``gone (id)``, at least one of them ``fresh (id)``.
+
+    ``used`` gets the tables that the result reads.
+    """
+    rows, names = _references(tables[fk.child], row_ids[fk.child], fk, time)
+    held = tables[fk.parent].select(F.col(row_ids[fk.parent]).alias("id"), *[F.col(c).alias(n) for c, n in zip(fk.parent_columns, names)]).dropna(subset=names)
+    mark = materialize(gone.join(fresh.withColumn("fresh", F.lit(1)), "id", "left"), "gone")
+    # ids are unique, so none is hot: "fresh" is 1 at most
+    touched = lookup(held, mark, "id", "inner", counts="fresh").groupBy(*names).agg(F.count(F.lit(1)).alias("lost"), F.count("fresh").alias("fresh"))
+    touched = materialize(touched.where("fresh > 0").select(*names, "lost"), "touched")
+    if is_small(touched):
+        held = held.join(F.broadcast(touched.select(*names)), names, "left_semi")
+    full = held.groupBy(*names).agg(F.count(F.lit(1)).alias("all"))
+    dead = materialize(full.join(touched, names).where(F.col("lost") == F.col("all")).select(*names), "dead")
+    release(dead.sparkSession, mark)
+    release(dead.sparkSession, touched)
+    used.append(dead)
+    return lookup(rows, dead, names, "inner").select(row_ids[fk.child], F.lit(fk.name).alias("ref_column"), "period")
 
 
 def cascade(tables: dict[str, DataFrame], row_ids: dict[str, str], keys: Sequence[ForeignKey], times: dict[str, str] | None = None) -> dict[str, DataFrame]:
@@ -88,13 +117,18 @@ def cascade(tables: dict[str, DataFrame], row_ids: dict[str, str], keys: Sequenc
     inherited orphan is ``inherited``; a row comes out once per direct reference, and at its first level if inherited
     (then with its first foreign key). Row ids must be unique and non-null. ``times`` names the column that dates a
     table's rows for ``period``.
+
+    Only distinct keys meet in joins of two tables; the rows of a key, hot or not, are then looked up by salted copies of it. Every
+    level is written once.
     """
     times = times or {}
-    found: dict[str, DataFrame] = {}
+    found: dict[str, Grown] = {}
+    gone: dict[str, Grown] = {}  # the ids alone, each once
+    spark = next(iter(tables.values())).sparkSession
     grouped: dict[tuple, list[ForeignKey]] = {}
     for fk in keys:
         grouped.setdefault((fk.child, fk.parent, fk.parent_columns, fk.child_time, len(fk.columns) == 1 and bool(fk.child_time), fk.name * (not fk.child_time)), []).append(fk)
-    parents = {fk.parent for fk in keys}
+    direct: dict[str, DataFrame] = {}
     for fks in grouped.values():
         fk, rid = fks[0], row_ids[fks[0].child]
         if fk.child_time:
@@ -102,37 +136,28 @@ def cascade(tables: dict[str, DataFrame], row_ids: dict[str, str], keys: Sequenc
         else:
             lost = _plain_dangling(tables[fk.child], rid, fk, tables[fk.parent], times.get(fk.child))
         lost = lost.withColumn("level", F.lit(0))
-        found[fk.child] = found[fk.child].unionByName(lost) if fk.child in found else lost
-    live = [fk for fk in keys if fk.parent in found]
-    if not live:
-        return found
-    found = {t: materialize(df, "orphans") if t in parents or any(fk.child == t for fk in live) else df for t, df in found.items()}
-    new, level = {t: found[t] for t in found}, 0
-    while new:
+        direct[fk.child] = direct[fk.child].unionByName(lost) if fk.child in direct else lost
+    fresh: dict[str, DataFrame] = {}
+    for t, rows in direct.items():
+        found[t], gone[t] = Grown("orphans"), Grown("gone")
+        fresh[t] = gone[t].add(found[t].add(rows).select(F.col(row_ids[t]).alias("id")).distinct())
+    level = 0
+    while fresh:
         level += 1
         gained: dict[str, DataFrame] = {}
-        for fk in live:
-            if fk.parent not in new:
-                continue
-            names = [f"k{i}" for i in range(len(fk.columns))]
-            prid, crid = row_ids[fk.parent], row_ids[fk.child]
-            held = tables[fk.parent].select(F.col(prid).alias("_id"), *[F.col(c).alias(n) for c, n in zip(fk.parent_columns, names)]).dropna(subset=names)
-            fresh = new[fk.parent].select(F.col(prid).alias("_id")).distinct().withColumn("fresh", F.lit(1))
-            lost = found[fk.parent].select(F.col(prid).alias("_id")).distinct().withColumn("lost", F.lit(1))
-            held = held.join(lost, "_id", "left").join(fresh, "_id", "left")
-            dead = held.groupBy(*names).agg(F.count("lost").alias("lost"), F.count(F.lit(1)).alias("all"), F.count("fresh").alias("fresh")).where((F.col("lost") == F.col("all")) & (F.col("fresh") > 0))
-            time = times.get(fk.child)
-            rows = tables[fk.child].select(F.col(crid), *[F.col(c).alias(n) for c, n in zip(fk.columns, names)], (F.date_format(time, "yyyy-MM") if time else F.lit(None).cast("string")).alias("period"))
-            heirs = rows.join(dead, names, "left_semi").select(crid, F.lit(fk.name).alias("ref_column"), "period")
-            gained[fk.child] = gained[fk.child].unionByName(heirs) if fk.child in gained else heirs
-        new = {}
+        used: list[DataFrame] = []
+        for fk in keys:
+            if fk.parent in fresh:
+                heirs = _heirs(tables, row_ids, fk, gone[fk.parent].frame(), fresh[fk.parent], times.get(fk.child), used)
+                gained[fk.child] = gained[fk.child].unionByName(heirs) if fk.child in gained else heirs
+        fresh = {}
         for t, heirs in gained.items():
             rid = row_ids[t]
-            one = heirs.groupBy(rid).agg(F.min(F.struct("ref_column", "period")).alias("x")).select(rid, "x.ref_column", F.lit("inherited").alias("reason"), "x.period")
-            if t in found:
-                one = one.join(found[t].select(rid).distinct(), rid, "left_anti")
-            one = materialize(one.withColumn("level", F.lit(level)), "orphans")
+            one = heirs.groupBy(rid).agg(F.min(F.struct("ref_column", "period")).alias("x")).select(rid, "x.ref_column", F.lit("inherited").alias("reason"), "x.period", F.lit(level).alias("level"))
+            one = materialize(one.join(gone[t].frame().withColumnRenamed("id", rid), rid, "left_anti").select(rid, "ref_column", "reason", "period", "level"), "heirs")
             if not one.isEmpty():
-                new[t] = one
-                found[t] = found[t].unionByName(one) if t in found else one
-    return found
+                fresh[t] = gone[t].add(found[t].add(one).select(F.col(rid).alias("id")))
+            release(spark, one)
+        for old in used:
+            release(spark, old)
+    return {t: rows.frame() for t, rows in found.items()}

@@ -1,4 +1,4 @@
-"""A lookup join that keeps its balance when a third of all rows ask for one key."""
+"""Lookup joins that keep their balance when a third of all rows ask for one key."""
 
 from __future__ import annotations
 
@@ -9,17 +9,33 @@ from pyspark.sql import functions as F
 SALTS = 16
 #: Rows of a looked-up table that is broadcast; a few MB for tables of two or three numbers.
 SMALL_ROWS = 100_000
+#: Rows from which a key counts as hot where the rows of every key are known.
+HOT_ROWS = 1 << 20
 
 
-def lookup(rows: DataFrame, table: DataFrame, key: str, how: str = "left", salts: int = SALTS, small_rows: int = SMALL_ROWS) -> DataFrame:
-    """``rows`` joined with ``table``, which has at most one row for every ``key``; a null key finds nothing.
+def is_small(table: DataFrame, most: int = SMALL_ROWS) -> bool:
+    """Counted, not estimated."""
+    return table.limit(most + 1).count() <= most
+
+
+def lookup(rows: DataFrame, table: DataFrame, key: str | list[str], how: str = "left", salts: int = SALTS, small_rows: int = SMALL_ROWS, counts: str | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``rows`` joined with ``table``, which has at most one row for every ``key`` (a column or several); a null key finds nothing.
 
     A ``table`` of at most ``small_rows`` counted rows is broadcast. Of a larger one every row is copied ``salts`` times, and every one of
     ``rows`` asks for one of the copies by a hash of all its columns, so the rows of a hot key meet in ``salts`` tasks.
-    ``table`` is counted, so it should be written out, and it should be smaller than ``rows``.
+    If the column ``counts`` of ``table`` says how many of ``rows`` have its key, only keys of more than ``hot_rows`` are copied; else ``table``
+    should be much smaller than ``rows``. It is counted, so it should be written out.
     """
-    if table.limit(small_rows + 1).count() <= small_rows:
-        return rows.join(F.broadcast(table), key, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)))
-    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return salted.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
+    keys = [key] if isinstance(key, str) else list(key)
+    if is_small(table, small_rows):
+        return rows.join(F.broadcast(table), keys, how)
+    last, salt = F.lit(salts - 1), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
+    if counts:
+        is_hot = F.col(counts) > hot_rows
+        hot = table.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+        if hot.isEmpty() or not is_small(hot):  # none, or so many that they balance each other
+            return rows.join(table.hint("merge"), keys, how)
+        last, salt = F.when(is_hot, last).otherwise(0), F.when(F.col("_hot"), salt).otherwise(0)
+        rows = rows.join(F.broadcast(hot), keys, "left")
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), last)))
+    return rows.withColumn("_salt", salt).drop("_hot").join(copies.hint("merge"), [*keys, "_salt"], how).drop("_salt")

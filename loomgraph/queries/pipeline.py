@@ -42,9 +42,15 @@ _REFS = tuple(ForeignKey("edge_property", (c,), "vertex_property", ("vertex",),
 _ROW_IDS = {"edge_property": "edge_row", "edge_deltas": "delta_id"}
 
 
+def _orphans(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """Orphans of every table, from the changes' references to edge records and theirs to vertex records."""
+    tables = {t: table(spark, folder, t) for t in ("edge_property", "vertex_property", "edge_deltas")}
+    keys = [*_REFS, ForeignKey("edge_deltas", ("src", "dst"), "edge_property", ("outVertex", "inVertex"))]
+    return cascade(tables, _ROW_IDS, keys, {"edge_deltas": "recv_at", "edge_property": "loaded_at"})
+
+
 def _direct(spark: SparkSession, folder: str) -> DataFrame:
-    tables = {t: table(spark, folder, t) for t in ("edge_property", "vertex_property")}
-    return cascade(tables, _ROW_IDS, _REFS)["edge_property"]
+    return _orphans(spark, folder)["edge_property"].where("level = 0")
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,9 +63,7 @@ def p6_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p6_cascade(spark: SparkSession, folder: str) -> DataFrame:
     """Direct and inherited orphans per table, reference and month, down to the changes of orphaned edge records."""
-    tables = {t: table(spark, folder, t) for t in ("edge_property", "vertex_property", "edge_deltas")}
-    keys = [*_REFS, ForeignKey("edge_deltas", ("src", "dst"), "edge_property", ("outVertex", "inVertex"))]
-    parts = cascade(tables, _ROW_IDS, keys, {"edge_deltas": "recv_at", "edge_property": "loaded_at"})
+    parts = _orphans(spark, folder)
     out = None
     for name in sorted(parts):
         one = parts[name].select(F.lit(name).alias("table_name"), "ref_column", "reason", "period", (F.col("level") > 0).alias("is_inherited"))

@@ -38,11 +38,13 @@ def session(app: str = "loomgraph", cores: str = "*", **conf: str) -> SparkSessi
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where that is unset and all tasks run on this machine (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -89,6 +91,31 @@ def materialize(df: DataFrame, name: str = "state") -> DataFrame:
     return out
 
 
+class Grown:
+    """A table that rounds append to. Parts are written once and folded into one when there are more than ``most``, so a plan
+    that reads it stays small however many rounds there are."""
+
+    def __init__(self, name: str, most: int = 8):
+        self.name, self.most, self.parts = name, most, []
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Append ``df``; the frame that comes back reads what was written."""
+        part = materialize(df, self.name)
+        if len(self.parts) >= self.most:
+            whole = materialize(self.frame(), self.name)
+            for old in self.parts:
+                release(df.sparkSession, old)
+            self.parts = [whole]
+        self.parts.append(part)
+        return part
+
+    def frame(self) -> DataFrame:
+        out = self.parts[0]
+        for part in self.parts[1:]:
+            out = out.unionByName(part)
+        return out
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 

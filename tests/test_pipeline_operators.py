@@ -139,4 +139,6 @@ def test_lookup_of_a_hot_key(spark, small_rows, how):
     got = lookup(df, spark.createDataFrame(list(table.items()), "k long, name string"), "k", how, small_rows=small_rows)
     want = [(k, v, s, table.get(k)) for k, v, s in rows if how == "left" or k in table]
     assert got.columns == ["k", "v", "_s", "name"] and Counter(map(tuple, got.collect())) == Counter(want)
+    counted = spark.createDataFrame([(k, sum(r[0] == k for r in rows)) for k in table], "k long, n long")
+    assert lookup(df, counted, "k", how, small_rows=small_rows, counts="n", hot_rows=20).where("n > 0").count() == sum(k in table for k, _, _ in rows)
     assert lookup(df.limit(0), got.select("k", "name").limit(0), "k", how, small_rows=small_rows).collect() == []
