@@ -42,6 +42,7 @@ VALUE_STEPS: dict[str, Callable[..., Column]] = {
     "product": lambda x, other: F.flatten(F.transform(x, lambda a: F.transform(_list(other), lambda b: F.array(a, b)))),
     "conjoin": lambda x, sep: F.array_join(x, sep),
     "reverse": lambda x: F.reverse(x),
+    "index": lambda x: F.transform(x, lambda v, i: F.struct(v.alias("value"), i.alias("index"))),
     "sizeOf": lambda x: F.size(x),
     # numbers
     "abs": lambda x: F.abs(x),

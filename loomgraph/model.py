@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomgraph.storage import release, shared_dir, table  # noqa: F401
+from loomgraph.config import Options
 
 VERTEX_CORE, EDGE_CORE = ("vid", "id", "label", "community"), ("src", "dst", "id", "label")
 DEFAULT_VERTEX_LABEL, DEFAULT_EDGE_LABEL = "vertex", "edge"
@@ -23,8 +23,9 @@ class PropertyGraph:
     input; :meth:`of` cleans it first.
     """
 
-    def __init__(self, vertices: DataFrame, edges: DataFrame):
+    def __init__(self, vertices: DataFrame, edges: DataFrame, options: Options | None = None):
         v, e = vertices, edges
+        self.options = options or Options()
         if "label" not in v.columns:
             v = v.withColumn("label", F.lit(DEFAULT_VERTEX_LABEL))
         if "community" not in v.columns:
@@ -59,6 +60,10 @@ class PropertyGraph:
         known = vertices.join(ends.select(F.col("vid").alias("_end")), F.col("vid") == F.col("_end"), "full")
         return cls(known.withColumn("vid", F.coalesce("vid", "_end")).drop("_end"), edges)
 
+    def with_(self, vertices: DataFrame | None = None, edges: DataFrame | None = None) -> PropertyGraph:
+        """Other vertices or edges under the same options."""
+        return PropertyGraph(self.vertices if vertices is None else vertices, self.edges if edges is None else edges, self.options)
+
     @property
     def spark(self) -> SparkSession:
         return self.vertices.sparkSession
@@ -108,6 +113,10 @@ class PropertyGraph:
         all_of = self.vertices.select("vid", F.lit(0).alias("o"), F.lit(0).alias("i")).unionByName(ends)
         return all_of.groupBy("vid").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree"))
 
+    def giant_vertices(self) -> DataFrame:
+        """``(vid, out_degree)`` of the vertices with at least ``options.giant_vertex_boundary`` out-neighbours."""
+        return self.edges.groupBy(F.col("src").alias("vid")).agg(F.count(F.lit(1)).alias("out_degree")).where(F.col("out_degree") >= self.options.giant_vertex_boundary)
+
     def has_vertex(self, vids: DataFrame) -> DataFrame:
         """``vids`` with ``exists``."""
         known = self.vertices.select(F.col("vid").alias("_k"))
@@ -132,7 +141,7 @@ class PropertyGraph:
         """The subgraph of the vertices in ``members (vid)``: edges with both ends among them."""
         keep = members.select("vid").distinct()
         edges = self.edges.join(keep.withColumnRenamed("vid", "src"), "src", "left_semi").join(keep.withColumnRenamed("vid", "dst"), "dst", "left_semi")
-        return PropertyGraph(self.vertices.join(keep, "vid", "left_semi"), edges)
+        return self.with_(self.vertices.join(keep, "vid", "left_semi"), edges)
 
     def counts(self) -> DataFrame:
         return self.vertices.agg(F.count(F.lit(1)).alias("n_vertices")).join(self.edges.agg(F.count(F.lit(1)).alias("n_edges")))
@@ -156,13 +165,14 @@ class PropertyGraph:
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
         """Zstd Parquet; edges are clustered by source so that a source's edges prune to few row groups."""
-        self.vertices.write.mode(mode).option("compression", "zstd").parquet(f"{path.rstrip('/')}/vertices")
         edges = self.edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst")
-        edges.write.mode(mode).option("compression", "zstd").parquet(f"{path.rstrip('/')}/edges")
+        for name, rows in (("vertices", self.vertices), ("edges", edges)):
+            writer = rows.write.mode(mode).option("compression", "zstd").option("parquet.page.size", str(256 * self.options.block_size))
+            writer.parquet(f"{path.rstrip('/')}/{name}")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> PropertyGraph:
-        return cls(spark.read.parquet(f"{path.rstrip('/')}/vertices"), spark.read.parquet(f"{path.rstrip('/')}/edges"))
+    def load(cls, spark: SparkSession, path: str, options: Options | None = None) -> PropertyGraph:
+        return cls(spark.read.parquet(f"{path.rstrip('/')}/vertices"), spark.read.parquet(f"{path.rstrip('/')}/edges"), options)
 
     @classmethod
     def empty(cls, spark: SparkSession) -> PropertyGraph:

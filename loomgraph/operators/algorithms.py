@@ -1,8 +1,8 @@
 """Breadth-first search, components, condensation, paths, communities and their boundaries.
 
-Each iterative algorithm has one definition and two executions: an edge list of at most ``local_edges`` edges is finished by
-a vectorised kernel in one executor task; a larger one runs in distributed rounds, with each round's state
-written to the shared folder. Both give the same rows.
+Each iterative algorithm has one definition and two executions: an edge list of at most ``local_edges`` edges (by default that of
+the graph's options) is finished by a vectorised kernel in one executor task; a larger one runs in distributed rounds, with each round's
+state written to the shared folder and hub vertices spread over salts. Both give the same rows.
 """
 
 from __future__ import annotations
@@ -14,9 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.model import PropertyGraph
-from loomgraph.operators.local import LOCAL_EDGES, Csr, in_one_task
+from loomgraph.operators.local import Csr, forests, in_one_task
+from loomgraph.operators.skew import Spread, lookup
 from loomgraph.operators.sweep import running_totals
-from loomgraph.storage import materialize, release
+from loomgraph.storage import Grown, materialize, release
+
+
+def _bound(graph: PropertyGraph, local_edges: int | None) -> int:
+    return graph.options.local_edges if local_edges is None else local_edges
 
 
 def _oriented(edges: DataFrame, direction: str) -> DataFrame:
@@ -25,7 +30,25 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
     return {"out": e, "in": back, "both": e.unionByName(back).distinct()}[direction]
 
 
-def bfs(graph: PropertyGraph, starts: int | Iterable[int] | DataFrame, direction: str = "out", community: int | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def _frontiers(edges: DataFrame, begin: DataFrame, most: int = 8) -> Grown:
+    """The parts ``(origin, vid, distance, parent)`` of a search from ``begin (origin, vid)``; the last part is empty.
+
+    With ``most`` above the depth, every part holds one distance.
+    """
+    out = Spread(edges, "src")
+    none = F.lit(None).cast("long")
+    seen = Grown("reached", most)
+    frontier, level = seen.add(begin.select("origin", "vid", F.lit(0).cast("long").alias("distance"), none.alias("parent"))), 0
+    while not frontier.isEmpty():
+        level += 1
+        step = out.join(frontier.select("origin", F.col("vid").alias("src"))).groupBy("origin", F.col("dst").alias("vid")).agg(F.min("src").alias("parent"))
+        step = step.join(seen.frame().select("origin", "vid"), ["origin", "vid"], "left_anti")
+        frontier = seen.add(step.select("origin", "vid", F.lit(level).cast("long").alias("distance"), "parent"))
+    out.release()
+    return seen
+
+
+def bfs(graph: PropertyGraph, starts: int | Iterable[int] | DataFrame, direction: str = "out", community: int | None = None, local_edges: int | None = None) -> DataFrame:
     """``(origin, vid, distance, parent)``: what each start reaches in hops, itself at 0 with a null parent.
 
     ``parent`` is the smallest vertex one hop nearer. ``community`` restricts the search to one community. A start that
@@ -48,7 +71,7 @@ def bfs(graph: PropertyGraph, starts: int | Iterable[int] | DataFrame, direction
         if not known:
             return spark.createDataFrame([], schema)
         begin = spark.createDataFrame([(k,) for k in known], "vid long")
-    if not many and edges.count() <= local_edges:
+    if not many and edges.count() <= _bound(graph, local_edges):
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr, parts = Csr(src, dst, np.array(known, np.int64)), []
             for s in known:
@@ -57,37 +80,41 @@ def bfs(graph: PropertyGraph, starts: int | Iterable[int] | DataFrame, direction
             return dict(zip(("origin", "vid", "distance", "parent"), map(np.concatenate, zip(*parts))))
 
         return in_one_task(edges, kernel, schema).withColumn("parent", F.when(F.col("distance") > 0, F.col("parent")))
-    edges = materialize(edges, "edges")
-    frontier = materialize(begin.select(F.col("vid").alias("origin"), "vid", F.lit(0).cast("long").alias("distance"), F.lit(None).cast("long").alias("parent")), "frontier")
-    seen, level = frontier, 0
-    while True:
-        level += 1
-        step = frontier.select("origin", F.col("vid").alias("src")).join(edges, "src").groupBy("origin", F.col("dst").alias("vid")).agg(F.min("src").alias("parent"))
-        step = step.join(seen.select("origin", "vid"), ["origin", "vid"], "left_anti")
-        frontier = materialize(step.select("origin", "vid", F.lit(level).cast("long").alias("distance"), "parent"), "frontier")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    release(spark, edges)
-    return seen
+    return _frontiers(edges, begin.select(F.col("vid").alias("origin"), "vid")).frame()
+
+
+def bfs_samples(graph: PropertyGraph, starts: DataFrame, local_edges: int | None = None) -> DataFrame:
+    """One row ``(samples, least, most, average, depth)``: how many vertices the searches from ``starts (vid)`` visit, and the farthest hop.
+
+    All searches run at once. A start that is no vertex is no sample.
+    """
+    found = bfs(graph, starts, local_edges=local_edges).groupBy("origin").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("d"))
+    return found.agg(F.count(F.lit(1)).alias("samples"), F.min("n").alias("least"), F.max("n").alias("most"), F.round(F.avg("n"), 6).alias("average"), F.max("d").alias("depth"))
 
 
 def _stars(edges: DataFrame) -> DataFrame:
-    """``(vid, component)`` by alternating large and small stars until nothing moves; only linked vertices come out."""
+    """``(vid, component)`` by alternating large and small stars until nothing moves; only linked vertices come out.
+
+    Every task first contracts its edges to a forest. Neighbours of a hub are looked up by salted copies of its row.
+    """
     spark = edges.sparkSession
-    state = materialize(edges.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+    state = materialize(forests(edges).distinct(), "stars")
+
+    def star(rows: DataFrame, least: DataFrame) -> tuple[DataFrame, DataFrame]:
+        least = materialize(least, "least")
+        return lookup(rows, least, "u", "inner", counts="n_rows"), least
+
     last = None
     while True:
         both = state.select("u", "v").union(state.select(F.col("v"), F.col("u"))).toDF("u", "n")
-        least = both.groupBy("u").agg(F.min("n").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("n > u").join(least, "u").select(F.col("n").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = materialize(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
+        large, a = star(both.where("n > u"), both.groupBy("u").agg(F.min("n").alias("m"), F.count(F.lit(1)).alias("n_rows")).select("u", F.least("u", "m").alias("m"), "n_rows"))
+        large = materialize(large.select(F.col("n").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "large")
+        small, b = star(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n_rows")))
+        small = small.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         small = materialize(small.where("u <> v").distinct(), "stars")
         mark = tuple(small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        release(spark, large)
-        release(spark, state)
+        for old in (large, state, a, b):
+            release(spark, old)
         state = small
         if mark == last:
             break
@@ -96,10 +123,10 @@ def _stars(edges: DataFrame) -> DataFrame:
     return state.select(F.col("u").alias("vid"), F.col("v").alias("component")).unionByName(roots)
 
 
-def wcc(graph: PropertyGraph, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def wcc(graph: PropertyGraph, local_edges: int | None = None) -> DataFrame:
     """``(vid, component)``: ``component`` is the smallest vertex weakly connected to ``vid``; isolated vertices are their own."""
     edges = graph.edges.select("src", "dst")
-    if edges.count() <= local_edges:
+    if edges.count() <= _bound(graph, local_edges):
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr = Csr(src, dst)
             return {"vid": csr.ids, "component": csr.ids[csr.components()]}
@@ -112,66 +139,104 @@ def wcc(graph: PropertyGraph, local_edges: int = LOCAL_EDGES) -> DataFrame:
 
 def numbered(parts: DataFrame) -> DataFrame:
     """``(vid, component_id)``: components numbered from 0 in the order of their smallest vertex, without one global sort."""
-    roots = parts.select("component").distinct().withColumn("one", F.lit(1).cast("long"))
-    ranks = running_totals(roots, None, ["component"], ["one"]).select("component", (F.col("run_one") - 1).alias("component_id"))
-    return parts.join(ranks, "component").select("vid", "component_id")
+    roots = parts.groupBy("component").agg(F.count(F.lit(1)).alias("n_rows"), F.lit(1).cast("long").alias("one"))
+    ranks = running_totals(roots, None, ["component"], ["one"]).select("component", "n_rows", (F.col("run_one") - 1).alias("component_id"))
+    return lookup(parts, materialize(ranks, "ranks"), "component", "inner", counts="n_rows").select("vid", "component_id")
+
+
+def _between(edges: DataFrame, marks: DataFrame) -> DataFrame:
+    """Edges with ``a`` and ``b``, the ``mark`` of their ends in ``marks (vid, mark, n_out, n_in)``; edges of unmarked ends go."""
+    for side, name, n in (("src", "a", "n_out"), ("dst", "b", "n_in")):
+        edges = lookup(edges, marks.select(F.col("vid").alias(side), F.col("mark").alias(name), F.col(n).alias("_n")), side, "inner", counts="_n").drop("_n")
+    return edges
 
 
-def scc(graph: PropertyGraph, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def _degrees(edges: DataFrame) -> DataFrame:
+    """``(vid, n_out, n_in)`` of the ends of edges."""
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = edges.select(F.explode(F.array(F.struct(F.col("src").alias("vid"), one.alias("o"), no.alias("i")), F.struct(F.col("dst").alias("vid"), no.alias("o"), one.alias("i")))).alias("x")).select("x.*")
+    return ends.groupBy("vid").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
+
+
+def _around(edges: DataFrame, pivot: int) -> tuple[DataFrame, DataFrame]:
+    """``(vid)`` of what ``pivot`` reaches, and of what reaches it."""
+    begin = edges.sparkSession.createDataFrame([(pivot, pivot)], "origin long, vid long")
+    return tuple(_frontiers(_oriented(edges, way), begin).frame().select("vid") for way in ("out", "in"))
+
+
+def _colours(edges: DataFrame) -> DataFrame:
+    """``(vid, c)``: the smallest vertex that reaches each end of an edge; only vertices whose colour moved push it on."""
+    spark, out = edges.sparkSession, Spread(edges, "src")
+    colour = materialize(edges.select(F.explode(F.array("src", "dst")).alias("vid")).distinct().withColumn("c", F.col("vid")), "colour")
+    moved = colour
+    while True:
+        pushed = out.join(moved.withColumnRenamed("vid", "src")).groupBy(F.col("dst").alias("vid")).agg(F.min("c").alias("new"))
+        moved = materialize(pushed.join(colour, "vid").where("new < c").select("vid", F.col("new").alias("c")), "moved")
+        if moved.isEmpty():
+            out.release()
+            return colour
+        changed = colour.join(moved.withColumnRenamed("c", "new"), "vid", "left").select("vid", F.coalesce("new", "c").alias("c"))
+        changed = materialize(changed, "colour")
+        release(spark, colour)
+        colour = changed
+
+
+def _peel(edges: DataFrame, done: Grown) -> DataFrame:
+    """Two peelings of strong components, added to ``done (vid, component)``; the edges that may lie inside others are left.
+
+    First that of the vertex with most edges both ways: what it reaches and is reached from. No other component crosses the
+    classes "only reached", "only reaching" and "neither". Then vertices are coloured by the smallest vertex that reaches them, and
+    what reaches the colour's own vertex inside its colour is a component; none crosses colours.
+    """
+    degrees = materialize(_degrees(edges), "degrees")
+    pivot = degrees.orderBy(F.desc(F.col("n_out") * F.col("n_in")), "vid").first()["vid"]
+    ahead, behind = (side.withColumn(f"_{i}", F.lit(True)) for i, side in enumerate(_around(edges, pivot)))
+    marks = degrees.join(ahead, "vid", "left").join(behind, "vid", "left")
+    marks = materialize(marks.select("vid", "n_out", "n_in", (F.when(F.col("_0"), 1).otherwise(0) + F.when(F.col("_1"), 2).otherwise(0)).alias("mark")), "marks")
+    core = marks.where("mark = 3").select("vid")
+    done.add(core.join(F.broadcast(core.agg(F.min("vid").alias("component")))))  # one row
+    edges = materialize(_between(edges, marks).where("a = b AND a <> 3").select("src", "dst"), "rest")
+    if edges.isEmpty():
+        return edges
+    colour = _colours(edges)
+    marks = materialize(colour.join(_degrees(edges), "vid").select("vid", F.col("c").alias("mark"), "n_out", "n_in"), "marks")
+    own = materialize(_between(edges, marks).where("a = b").select("src", "dst"), "own")
+    roots = colour.where("vid = c").select(F.col("c").alias("origin"), "vid")
+    found = done.add(_frontiers(_oriented(own, "in"), roots).frame().select("vid", F.col("origin").alias("component")))
+    left = materialize(marks.join(found.select("vid"), "vid", "left_anti"), "left")
+    return materialize(_between(own, left).select("src", "dst"), "rest")
+
+
+def _trimmed(edges: DataFrame, rounds: int = 2) -> DataFrame:
+    """Without edges into vertices that lead nowhere and out of vertices that nothing leads to, which are components of their own."""
+    for _ in range(rounds):
+        degrees = _degrees(edges).where("n_out > 0 AND n_in > 0").withColumn("mark", F.lit(0))
+        edges = materialize(_between(edges, materialize(degrees, "degrees")).select("src", "dst"), "rest")
+    return edges
+
+
+def scc(graph: PropertyGraph, local_edges: int | None = None) -> DataFrame:
     """``(vid, component)``: ``component`` is the smallest vertex that ``vid`` reaches and is reached from.
 
-    Above ``local_edges`` edges, vertices without an edge in or out are trimmed (they are alone), the rest are coloured by the
-    smallest vertex that reaches them, and each colour's root is searched backwards inside its colour; what is found is
-    a component. Peeling goes on until the rest fits one task.
+    Above ``local_edges`` edges, vertices without an edge in or out are trimmed, and components peeled off until the rest fits one task.
     """
-    spark = graph.spark
-    edges = graph.edges.select("src", "dst").where("src <> dst")
-    done: list[DataFrame] = []
-    rest = edges
-    while rest.count() > local_edges:
-        rest = materialize(rest, "rest")
-        while True:  # trim
-            n = rest.count()
-            kept = rest.join(rest.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(rest.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi")
-            kept = materialize(kept.select("src", "dst"), "rest")
-            if kept.count() == n:
-                break
-            rest = kept
-        if rest.isEmpty():
-            break
-        colour = materialize(rest.select(F.explode(F.array("src", "dst")).alias("vid")).distinct().withColumn("c", F.col("vid")), "colour")
-        while True:  # forward: the smallest vertex that reaches
-            pushed = rest.join(colour.withColumnRenamed("vid", "src"), "src").select(F.col("dst").alias("vid"), "c")
-            new = colour.unionByName(pushed).groupBy("vid").agg(F.min("c").alias("c"))
-            new = materialize(new, "colour")
-            moved = new.join(colour.withColumnRenamed("c", "old"), "vid").where("c <> old").isEmpty()
-            release(spark, colour)
-            colour = new
-            if moved:
-                break
-        own = rest.join(colour.select(F.col("vid").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("vid").alias("dst"), F.col("c").alias("b")), "dst")
-        own = materialize(own.where("a = b").select("src", "dst", F.col("a").alias("c")), "own")
-        frontier = materialize(colour.where("vid = c"), "back")
-        found = frontier
-        while True:  # backward inside the colour
-            step = own.join(frontier.select(F.col("vid").alias("dst"), "c"), ["dst", "c"]).select(F.col("src").alias("vid"), "c").distinct()
-            frontier = materialize(step.join(found.select("vid"), "vid", "left_anti"), "back")
-            if frontier.isEmpty():
-                break
-            found = found.unionByName(frontier)
-        found = materialize(found.select("vid", F.col("c").alias("component")), "found")
-        done.append(found)
-        gone = found.select("vid")
-        rest = rest.join(gone.withColumnRenamed("vid", "src"), "src", "left_anti").join(gone.withColumnRenamed("vid", "dst"), "dst", "left_anti").select("src", "dst")
+    bound, done = _bound(graph, local_edges), Grown("components")
+    rest = graph.edges.select("src", "dst").where("src <> dst")
+    if rest.count() > bound:
+        rest = _trimmed(materialize(rest, "rest"))
+    while (n := rest.count()) > bound:
+        rest = _peel(rest, done)
 
     def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
         csr = Csr(src, dst)
         return {"vid": csr.ids, "component": csr.ids[csr.strong_components()]}
 
-    parts = in_one_task(rest, kernel, "vid long, component long")
-    for d in done:
-        parts = parts.unionByName(d)
-    return graph.vertices.select("vid").join(parts, "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
+    parts = [in_one_task(rest, kernel, "vid long, component long")] if n else []
+    parts += [done.frame()] if done.parts else []
+    if not parts:
+        return graph.vertices.select("vid", F.col("vid").alias("component"))
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return graph.vertices.select("vid").join(found, "vid", "left").select("vid", F.coalesce("component", "vid").alias("component"))
 
 
 def component_stats(parts: DataFrame) -> DataFrame:
@@ -192,34 +257,40 @@ def condensation(graph: PropertyGraph, parts: DataFrame) -> DataFrame:
 
 def condensed(graph: PropertyGraph, parts: DataFrame) -> PropertyGraph:
     """The component graph: a vertex per component."""
-    return PropertyGraph(parts.select(F.col("component").alias("vid")).distinct(), condensation(graph, parts))
+    return graph.with_(parts.select(F.col("component").alias("vid")).distinct(), condensation(graph, parts))
+
+
+def written(graph: PropertyGraph) -> PropertyGraph:
+    """The graph read back from the shared folder: what made it is not computed again."""
+    return graph.with_(materialize(graph.vertices, "vertices"), materialize(graph.edges, "edges"))
 
 
-def levels(dag: PropertyGraph, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def levels(dag: PropertyGraph, local_edges: int | None = None) -> DataFrame:
     """``(vid, level)``: longest distance from a vertex without incoming edges. The graph must be acyclic."""
     edges = dag.edges.select("src", "dst")
-    if edges.count() <= local_edges:
+    if edges.count() <= _bound(dag, local_edges):
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr = Csr(src, dst)
             return {"vid": csr.ids, "level": csr.levels()}
 
         linked = in_one_task(edges, kernel, "vid long, level long")
     else:
-        edges = materialize(edges, "edges")
-        rest, level, parts = edges, 0, []
-        while not rest.isEmpty():  # peel the sources
-            heads = materialize(rest.select(F.col("src").alias("vid")).distinct().join(rest.select(F.col("dst").alias("vid")).distinct(), "vid", "left_anti"), "heads")
+        rest, level, done = materialize(edges, "rest"), 0, Grown("levels")
+        while not rest.isEmpty():  # peel the sources; what then has no edge left lies one level below
+            degrees = materialize(_degrees(rest), "degrees")
+            heads = degrees.where("n_in = 0")
             if heads.isEmpty():
                 raise ValueError("the graph has a cycle")
-            last = rest.select(F.col("dst").alias("vid")).distinct()
-            parts.append(heads.withColumn("level", F.lit(level).cast("long")))
-            rest = materialize(rest.join(heads.withColumnRenamed("vid", "src"), "src", "left_anti").select("src", "dst"), "rest")
-            left = rest.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
-            parts.append(materialize(last.join(left, "vid", "left_anti").withColumn("level", F.lit(level + 1).cast("long")), "heads"))
-            level += 1
-        linked = parts[0]
-        for p in parts[1:]:
-            linked = linked.unionByName(p)
+            marks = degrees.where("n_in > 0")
+            kept = lookup(rest, marks.select(F.col("vid").alias("src"), "n_out"), "src", "inner", counts="n_out")
+            kept = materialize(kept.select("src", "dst"), "rest")
+            ends = kept.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
+            last = marks.select("vid").join(ends, "vid", "left_anti").withColumn("level", F.lit(level + 1).cast("long"))
+            done.add(heads.select("vid", F.lit(level).cast("long").alias("level")).unionByName(last))
+            for old in (rest, degrees):
+                release(dag.spark, old)
+            rest, level = kept, level + 1
+        linked = done.frame()
     return dag.vertices.select("vid").join(linked, "vid", "left").select("vid", F.coalesce("level", F.lit(0).cast("long")).alias("level"))
 
 
@@ -231,7 +302,7 @@ def dag_stats(dag: PropertyGraph) -> DataFrame:
     return dag.counts().join(top).join(degree)  # four one-row aggregates side by side
 
 
-def reachable(graph: PropertyGraph, pairs: Iterable[tuple[int, int]] | DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def reachable(graph: PropertyGraph, pairs: Iterable[tuple[int, int]] | DataFrame, local_edges: int | None = None) -> DataFrame:
     """``(src, dst, reachable)`` for the given pairs of vertices, with the reflexive pair reachable.
 
     Pairs in one component are; pairs whose source lies on a later level than the target are not; the others are searched
@@ -242,8 +313,7 @@ def reachable(graph: PropertyGraph, pairs: Iterable[tuple[int, int]] | DataFrame
     many = isinstance(pairs, DataFrame)
     asked = pairs.select("src", "dst").distinct() if many else spark.createDataFrame(sorted({(int(a), int(b)) for a, b in pairs}), "src long, dst long")
     parts = materialize(scc(graph, local_edges), "scc")
-    dag = condensed(graph, parts)
-    dag = PropertyGraph(materialize(dag.vertices, "dag"), materialize(dag.edges, "dag"))
+    dag = written(condensed(graph, parts))
     ranks = levels(dag, local_edges)
     where = parts.join(ranks.withColumnRenamed("vid", "component"), "component")
     asked = asked.join(where.toDF("sa", "src", "la"), "src", "left").join(where.toDF("sb", "dst", "lb"), "dst", "left")
@@ -255,7 +325,7 @@ def reachable(graph: PropertyGraph, pairs: Iterable[tuple[int, int]] | DataFrame
         "src", "dst", (F.col("same") | (F.coalesce("hit", F.lit(False)) & (F.col("la") < F.col("lb")))).alias("reachable"))
 
 
-def closure(graph: PropertyGraph, sources: Iterable[int] | DataFrame, targets: DataFrame | None = None, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def closure(graph: PropertyGraph, sources: Iterable[int] | DataFrame, targets: DataFrame | None = None, local_edges: int | None = None) -> DataFrame:
     """``(src, dst)``: what each of ``sources`` reaches, itself included, kept to ``targets (vid)`` if given.
 
     ``sources`` may also be a frame ``(vid)`` of any size: its components are searched on the component graph, each once, and their
@@ -263,8 +333,7 @@ def closure(graph: PropertyGraph, sources: Iterable[int] | DataFrame, targets: D
     """
     if isinstance(sources, DataFrame):
         parts = materialize(scc(graph, local_edges), "scc")
-        dag = condensed(graph, parts)
-        dag = PropertyGraph(materialize(dag.vertices, "dag"), materialize(dag.edges, "dag"))
+        dag = written(condensed(graph, parts))
         begin = sources.select(F.col("vid").alias("src")).distinct().join(parts.toDF("src", "origin"), "src")
         found = bfs(dag, begin.select(F.col("origin").alias("vid")), local_edges=local_edges).select("origin", F.col("vid").alias("component"))
         ends = parts if targets is None else parts.join(targets.select("vid"), "vid", "left_semi")
@@ -273,7 +342,7 @@ def closure(graph: PropertyGraph, sources: Iterable[int] | DataFrame, targets: D
     return found if targets is None else found.join(targets.select(F.col("vid").alias("dst")), "dst", "left_semi").select("src", "dst")
 
 
-def shortest_path(graph: PropertyGraph, source: int, target: int, local_edges: int = LOCAL_EDGES) -> DataFrame:
+def shortest_path(graph: PropertyGraph, source: int, target: int, local_edges: int | None = None) -> DataFrame:
     """``(position, vid)`` of a shortest path from ``source`` (0) to ``target``; no rows if there is none.
 
     Among shortest paths the one whose vertices, read from the target back, are smallest.
@@ -284,7 +353,7 @@ def shortest_path(graph: PropertyGraph, source: int, target: int, local_edges: i
     if not {source, target} <= both:
         return spark.createDataFrame([], schema)
     edges = graph.edges.select("src", "dst")
-    if edges.count() <= local_edges:
+    if edges.count() <= _bound(graph, local_edges):
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr = Csr(src, dst, np.array([source, target], np.int64))
             code, _, parent = csr.bfs(csr.code(source))
@@ -296,17 +365,56 @@ def shortest_path(graph: PropertyGraph, source: int, target: int, local_edges: i
             return {"position": np.arange(len(path)), "vid": path}
 
         return in_one_task(edges, kernel, schema)
-    tree = materialize(bfs(graph, source, local_edges=local_edges).select("vid", "parent"), "tree")
+    begin = spark.createDataFrame([(source, source)], "origin long, vid long")
+    tree = _frontiers(edges, begin, most=1 << 30).parts  # one table a distance
+    end = _frontier_of(tree, target)
     path, at = [], target
-    while at is not None:  # one pruned lookup per hop
-        row = tree.where(F.col("vid") == at).first()
-        if row is None:
-            break
-        path.append(at)
-        at = row["parent"]
+    for first in range(end, -1, -16):  # sixteen hops a job, each reading one distance's table
+        row = spark.createDataFrame([(at,)], "v0 long")
+        hops = range(first, max(-1, first - 16), -1)
+        for k, d in enumerate(hops):
+            row = row.join(tree[d].select(F.col("vid").alias(f"v{k}"), F.col("parent").alias(f"v{k + 1}")), f"v{k}")
+        got = row.first()
+        path += [got[f"v{k}"] for k in range(len(hops))]
+        at = got[f"v{len(hops)}"]
+    for old in tree:
+        release(spark, old)
     return spark.createDataFrame(list(enumerate(path[::-1])), schema)
 
 
+def _frontier_of(tree: list[DataFrame], target: int) -> int:
+    """The distance at which ``target`` was reached, or -1: one job over all tables of a search."""
+    hits = None
+    for part in tree:
+        one = part.where(F.col("vid") == target).select("distance")
+        hits = one if hits is None else hits.unionByName(one)
+    row = hits.first()
+    return -1 if row is None else row["distance"]
+
+
+def pruned_path(graph: PropertyGraph, source: int, target: int, local_edges: int | None = None) -> DataFrame:
+    """As :func:`shortest_path`, searching only the components that lie on a way from the source's to the target's."""
+    parts = materialize(scc(graph, local_edges), "scc")
+    dag = written(condensed(graph, parts))
+    ends = {r["vid"]: r["component"] for r in parts.where(F.col("vid").isin([source, target])).collect()}
+    if not {source, target} <= set(ends):
+        return graph.spark.createDataFrame([], "position long, vid long")
+    ahead = bfs(dag, ends[source], local_edges=local_edges).select(F.col("vid").alias("component"))
+    behind = bfs(dag, ends[target], "in", local_edges=local_edges).select(F.col("vid").alias("component"))
+    near = parts.join(ahead, "component", "left_semi").join(behind, "component", "left_semi")
+    return shortest_path(graph.induced(materialize(near.select("vid"), "near")), source, target, local_edges)
+
+
+def dag_path(graph: PropertyGraph, parts: DataFrame, source: int, target: int, local_edges: int | None = None) -> DataFrame:
+    """``(position, component)``: a shortest path of components of ``parts (vid, component)`` from one to another; no rows if there is none."""
+    return shortest_path(condensed(graph, parts), source, target, local_edges).withColumnRenamed("vid", "component")
+
+
+def dag_bfs(graph: PropertyGraph, parts: DataFrame, source: int, local_edges: int | None = None) -> DataFrame:
+    """``(component, distance)``: the components that one reaches, in hops of the component graph."""
+    return bfs(condensed(graph, parts), source, local_edges=local_edges).select(F.col("vid").alias("component"), "distance")
+
+
 # -- communities ------------------------------------------------------------------------------------------------------------
 
 
@@ -342,24 +450,27 @@ def boundary_pairs(graph: PropertyGraph) -> DataFrame:
 def quotient(graph: PropertyGraph) -> PropertyGraph:
     """A vertex per community, an edge per linked ordered pair."""
     v = graph.vertices.where("community IS NOT NULL").select(F.col("community").cast("long").alias("vid")).distinct()
-    return PropertyGraph(v, cross_edges(graph).select(F.col("cu").cast("long").alias("src"), F.col("cv").cast("long").alias("dst")).distinct())
+    return graph.with_(v, cross_edges(graph).select(F.col("cu").cast("long").alias("src"), F.col("cv").cast("long").alias("dst")).distinct())
 
 
 def boundary_bfs(graph: PropertyGraph, start: int) -> DataFrame:
     """BFS over the edges between communities only."""
     b = boundary_vertices(graph)
-    return bfs(PropertyGraph(b.select("vid"), cross_edges(graph).select("src", "dst")), start)
+    return bfs(graph.with_(b.select("vid"), cross_edges(graph).select("src", "dst")), start)
 
 
-def enriched_boundary(graph: PropertyGraph) -> DataFrame:
-    """``(src, dst, kind)``: ``cross`` edges, and ``inside`` pairs of boundary vertices that reach each other within their community.
+def enriched_boundary(graph: PropertyGraph, local_edges: int | None = None) -> DataFrame:
+    """``(kind, src, dst)``: the boundary between communities, and how its vertices reach each other within their own.
 
-    All boundary vertices are searched at once over the edges inside communities.
+    ``cross``: an edge between communities. ``member``: a boundary vertex and its class, the smallest vertex of its strong component within its
+    community. ``link``: two classes with an edge inside their community. A boundary vertex reaches another inside the
+    community if and only if links lead from its class to that of the other, or the classes are one. The rows grow with vertices and edges,
+    never with pairs of vertices that reach each other.
     """
-    b = materialize(boundary_vertices(graph), "boundary")
     com = graph.vertices.select("vid", "community")
     a = graph.edges.select("src", "dst").join(com.toDF("src", "cu"), "src").join(com.toDF("dst", "cv"), "dst").where("cu = cv").select("src", "dst")
-    inner = PropertyGraph(graph.vertices.select("vid"), a)
-    reach = bfs(inner, b)
-    inside = reach.where("origin <> vid").select(F.col("origin").alias("src"), F.col("vid").alias("dst")).join(b.select(F.col("vid").alias("dst")), "dst", "left_semi")
-    return cross_edges(graph).select("src", "dst", F.lit("cross").alias("kind")).unionByName(inside.select("src", "dst", F.lit("inside").alias("kind")))
+    inner = graph.with_(graph.vertices.select("vid"), materialize(a, "inside"))
+    parts = materialize(scc(inner, local_edges), "scc")
+    row = lambda kind, df: df.select(F.lit(kind).alias("kind"), "src", "dst")
+    member = boundary_vertices(graph).select("vid").distinct().join(parts, "vid").toDF("src", "dst")
+    return row("cross", cross_edges(graph)).unionByName(row("member", member)).unionByName(row("link", condensation(inner, parts)))

@@ -8,10 +8,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Edges that one task may hold; larger graphs run in distributed rounds. 16 bytes an edge before compression.
-LOCAL_EDGES = 4_000_000
-
-
 class Csr:
     """Dense codes for the vertices of an edge list, and neighbours grouped by source."""
 
@@ -114,6 +110,35 @@ class Csr:
         return level
 
 
+def forests(edges: DataFrame) -> DataFrame:
+    """``(u, v)`` with u > v: every task's edges contracted to stars around the smallest vertex of each of its components.
+
+    Edges are folded into the forest a million at a time, so a task holds its vertices, not its edges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
+        u, v, held, size = none, none, [], 0
+
+        def fold() -> tuple[np.ndarray, np.ndarray]:
+            csr = Csr(*(np.concatenate([own, *[h[i] for h in held]]) for i, own in enumerate((u, v))))
+            root = csr.ids[csr.components()]
+            return csr.ids[root < csr.ids], root[root < csr.ids]
+
+        for b in batches:
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            size += b.num_rows
+            if size >= 1 << 20:
+                u, v = fold()
+                held, size = [], 0
+        if held:
+            u, v = fold()
+        for at in range(0, len(u), 50_000):
+            yield pa.RecordBatch.from_pydict({"u": u[at : at + 50_000], "v": v[at : at + 50_000]})
+
+    return edges.select("src", "dst").mapInArrow(run, "u long, v long")
+
+
 def in_one_task(edges: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """Run ``kernel(src, dst)`` over all edges in one task. The caller has checked their number."""
 

@@ -9,19 +9,20 @@ from pyspark.sql import functions as F
 
 from loomgraph.model import PropertyGraph
 from loomgraph.operators.changes import apply_changes
+from loomgraph.operators.sweep import running_totals
+from loomgraph.storage import materialize
 
 
 def add_vertices(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
     """Append ``rows`` with ``label``, optionally ``vid``, ``id``, ``community`` and properties.
 
     Without ``vid`` they are numbered above the largest; without ``id`` they get a random one; without a community each is
-    one of its own, above the largest. Numbering shuffles only the new rows to one task.
+    one of its own, above the largest. Numbers come from a sweep over the new rows, which are written once; no task sees all of them.
     """
     top = graph.vertices.agg(F.coalesce(F.max("vid"), F.lit(-1)).alias("v"), F.coalesce(F.max("community"), F.lit(-1)).alias("c")).first()
-    from pyspark.sql import Window
-
     if "vid" not in rows.columns or "community" not in rows.columns:
-        rows = rows.withColumn("_n", F.row_number().over(Window.orderBy(F.lit(0))))
+        rows = materialize(rows.withColumns({"_at": F.monotonically_increasing_id(), "_one": F.lit(1).cast("long")}), "new")
+        rows = running_totals(rows, None, ["_at"], ["_one"]).withColumnRenamed("run__one", "_n").drop("_at", "_one")
         if "vid" not in rows.columns:
             rows = rows.withColumn("vid", F.col("_n") + F.lit(top["v"]).cast("long"))
         if "community" not in rows.columns:
@@ -30,14 +31,14 @@ def add_vertices(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
     if "id" not in rows.columns:
         rows = rows.withColumn("id", F.uuid() if hasattr(F, "uuid") else F.expr("uuid()"))
     new = PropertyGraph(rows, graph.edges).vertices
-    return PropertyGraph(graph.vertices.join(new.select("vid"), "vid", "left_anti").unionByName(new, allowMissingColumns=True), graph.edges)
+    return graph.with_(graph.vertices.join(new.select("vid"), "vid", "left_anti").unionByName(new, allowMissingColumns=True))
 
 
 def add_edges(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
     """Insert or replace the edges ``rows (src, dst, label, ...)``: an existing pair is overwritten with all its properties."""
     new = PropertyGraph(graph.vertices, rows.dropDuplicates(["src", "dst"])).edges
     kept = graph.edges.join(new.select("src", "dst"), ["src", "dst"], "left_anti")
-    return PropertyGraph(graph.vertices, kept.unionByName(new, allowMissingColumns=True))
+    return graph.with_(edges=kept.unionByName(new, allowMissingColumns=True))
 
 
 def merge_vertices(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
@@ -53,11 +54,11 @@ def merge_edges(graph: PropertyGraph, rows: DataFrame) -> PropertyGraph:
 def drop_vertices(graph: PropertyGraph, vids: DataFrame) -> PropertyGraph:
     gone = vids.select("vid").distinct()
     edges = graph.edges.join(gone.withColumnRenamed("vid", "src"), "src", "left_anti").join(gone.withColumnRenamed("vid", "dst"), "dst", "left_anti")
-    return PropertyGraph(graph.vertices.join(gone, "vid", "left_anti"), edges)
+    return graph.with_(graph.vertices.join(gone, "vid", "left_anti"), edges)
 
 
 def drop_edges(graph: PropertyGraph, pairs: DataFrame) -> PropertyGraph:
-    return PropertyGraph(graph.vertices, graph.edges.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
+    return graph.with_(edges=graph.edges.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_anti"))
 
 
 def _set(rows: DataFrame, keys: list[str], chosen: DataFrame, key: str, value: Any) -> DataFrame:
@@ -69,15 +70,36 @@ def _set(rows: DataFrame, keys: list[str], chosen: DataFrame, key: str, value: A
 
 
 def set_vertex_property(graph: PropertyGraph, vids: DataFrame, key: str, value: Any) -> PropertyGraph:
-    return PropertyGraph(_set(graph.vertices, ["vid"], vids, key, value), graph.edges)
+    return graph.with_(_set(graph.vertices, ["vid"], vids, key, value))
 
 
 def set_edge_property(graph: PropertyGraph, pairs: DataFrame, key: str, value: Any) -> PropertyGraph:
-    return PropertyGraph(graph.vertices, _set(graph.edges, ["src", "dst"], pairs, key, value))
+    return graph.with_(edges=_set(graph.edges, ["src", "dst"], pairs, key, value))
 
 
 def drop_property(graph: PropertyGraph, key: str, of: str = "vertex") -> PropertyGraph:
-    return PropertyGraph(graph.vertices.drop(key), graph.edges) if of == "vertex" else PropertyGraph(graph.vertices, graph.edges.drop(key))
+    return graph.with_(graph.vertices.drop(key)) if of == "vertex" else graph.with_(edges=graph.edges.drop(key))
+
+
+def list_properties(graph: PropertyGraph, prefix: str = "", of: str = "vertex") -> DataFrame:
+    """``(id, key, value)``: every present property whose name starts with ``prefix``, as text, of all vertices or edges."""
+    rows, names = (graph.vertices, graph.vertex_properties) if of == "vertex" else (graph.edges, graph.edge_properties)
+    names = [n for n in names if n.startswith(prefix)]
+    if not names:
+        return graph.spark.createDataFrame([], "id string, key string, value string")
+    cells = F.array(*[F.struct(F.lit(n).alias("key"), F.col(n).cast("string").alias("value")) for n in names])
+    return rows.select("id", F.inline(cells)).where(F.col("value").isNotNull())
+
+
+def remove_property(graph: PropertyGraph, chosen: DataFrame, key: str) -> PropertyGraph:
+    """Without the property ``key`` of the vertices ``chosen (vid)`` or the edges ``chosen (src, dst)``."""
+    edge = "src" in chosen.columns
+    rows, keys = (graph.edges, ["src", "dst"]) if edge else (graph.vertices, ["vid"])
+    if key not in rows.columns:
+        return graph
+    mark = chosen.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    rows = rows.join(mark, keys, "left").withColumn(key, F.when(F.col("_hit").isNull(), F.col(key))).drop("_hit")
+    return graph.with_(edges=rows) if edge else graph.with_(rows)
 
 
 def with_changes(graph: PropertyGraph, feed: DataFrame) -> PropertyGraph:
@@ -85,7 +107,7 @@ def with_changes(graph: PropertyGraph, feed: DataFrame) -> PropertyGraph:
     now = apply_changes(graph.edges, feed)
     kept = graph.edges.join(now.where("delta_id IS NULL").select("src", "dst"), ["src", "dst"], "left_semi")
     new = PropertyGraph(graph.vertices, now.where("delta_id IS NOT NULL").select("src", "dst", "since")).edges
-    return PropertyGraph(graph.vertices, kept.unionByName(new, allowMissingColumns=True))
+    return graph.with_(edges=kept.unionByName(new, allowMissingColumns=True))
 
 
 def merge_logs(*logs: DataFrame) -> DataFrame:

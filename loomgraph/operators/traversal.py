@@ -8,13 +8,14 @@ steps, paths, the origin of a nested traversal. Multiplicity is that of the bag
 
 from __future__ import annotations
 
+import time
 import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.predicates import P, predicate
@@ -52,6 +53,18 @@ def _barrier(nested: Steps) -> bool:
     return any(name in BARRIERS or any(isinstance(a, Steps) and _barrier(a) for a in (*args, *kwargs.values())) for name, args, kwargs in nested.steps)
 
 
+#: Steps that an existence test may run from the far end.
+MOVES, TESTS = {"out", "in_", "both"}, {"has", "hasLabel", "hasId", "hasNot", "hasKey", "where", "filter", "not_", "and_", "or_"}
+
+
+def _closed(nested: Steps, allowed: set[str]) -> bool:
+    """Whether ``nested`` has only ``allowed`` steps and refers to nothing outside of it."""
+    for name, args, kwargs in nested.steps:
+        if name not in allowed or kwargs or any(isinstance(a, Column) for a in args) or not all(_closed(a, MOVES | TESTS) for a in args if isinstance(a, Steps)):
+            return False
+    return True
+
+
 class Source:
     """Where traversals start: ``g.V()``, ``g.V(1)``, ``g.E()``, ``g.inject(...)``."""
 
@@ -89,11 +102,13 @@ class Traversal:
     tracked: bool = False
     #: Columns that tell one evaluation of a nested traversal or filter from another; ``dedup``, ``limit`` and the like act within one.
     scope: tuple[str, ...] = ()
+    #: What ``aggregate`` kept: name -> traversal.
+    sides: dict[str, Any] = field(default_factory=dict)
 
     # -- plumbing ----------------------------------------------------------------------------------------------------------
 
     def _new(self, df: DataFrame, kind: str | None = None, loaded: bool | None = None, **more: Any) -> Traversal:
-        return Traversal(self.graph, df, kind or self.kind, self.loaded if loaded is None else loaded, more.get("tags", self.tags), more.get("tracked", self.tracked), more.get("scope", self.scope))
+        return Traversal(self.graph, df, kind or self.kind, self.loaded if loaded is None else loaded, more.get("tags", self.tags), more.get("tracked", self.tracked), more.get("scope", self.scope), more.get("sides", self.sides))
 
     def _here(self) -> list[str]:
         return {VERTEX: ["_v"], EDGE: ["_src", "_dst", "_from"], VALUE: ["_x"]}[self.kind]
@@ -209,6 +224,9 @@ class Traversal:
         return t._new(t.df.where(F.col("`p:label`").isin(list(labels))))
 
     def hasId(self, *ids: Any) -> Traversal:
+        if self.kind == VERTEX and not self.loaded:  # as many vertices as ids were written
+            rows = self.graph.vertices.where(F.col("id").isin([str(i) for i in ids])).select(F.col("vid").alias("_k"))
+            return self._new(self.df.join(F.broadcast(rows), F.col("_v") == F.col("_k"), "left_semi"))
         t = self._load()
         return t._new(t.df.where(F.col("`p:id`").isin([str(i) for i in ids])))
 
@@ -225,11 +243,42 @@ class Traversal:
     def _key(self) -> list[str]:
         return ["_v"] if self.kind == VERTEX else ["_src", "_dst"] if self.kind == EDGE else ["_x"]
 
-    def _passing(self, nested: Steps) -> tuple[DataFrame, list[str]]:
-        """Keys of the current elements for which ``nested`` has a result. Evaluated once per element, not per traverser."""
+    def _from_far_end(self, nested: Steps) -> DataFrame:
+        """``(_v)``: the vertices from which ``nested``, moves and tests, has a result."""
+        last = max(i for i, (name, _, _) in enumerate(nested.steps) if name in MOVES)
+        name, labels, _ = nested.steps[last]
+        after, before = nested.steps[last + 1 :], nested.steps[:last]
+        e = self._labelled(labels).select("src", "dst")
+        back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        pairs = e if name == "out" else back if name == "in_" else e.unionByName(back).where("src <> dst")
+        if after:
+            ends = Steps(after).on(Source(self.graph).V()).df.select(F.col("_v").alias("dst"))
+            pairs = pairs.join(ends, "dst", "left_semi")
+        while True:
+            here = pairs.select(F.col("src").alias("_v")).distinct()
+            at = max((i for i, (step, _, _) in enumerate(before) if step in MOVES), default=-1)
+            tests, before = before[at + 1 :], before[: at + 1]
+            if tests:
+                here = Steps(tests).on(Traversal(self.graph, here, VERTEX)).df.select("_v")
+            if not before:
+                return here
+            step, labels, _ = before[-1]
+            before = before[:-1]
+            e = self._labelled(labels).select("src", "dst")
+            back = e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+            pairs = e if step == "out" else back if step == "in_" else e.unionByName(back).where("src <> dst")
+            pairs = pairs.join(here.withColumnRenamed("_v", "dst"), "dst", "left_semi")
+
+    def _passing(self, nested: Steps, far: bool = True) -> tuple[DataFrame, list[str]]:
+        """Keys of the current elements for which ``nested`` has a result. Evaluated once per element, not per traverser.
+
+        Moves between vertices and tests that refer to nothing outside run from the far end, as semi-joins: no row is multiplied.
+        """
         keys = self._key()
+        if far and self.kind == VERTEX and _closed(nested, MOVES | TESTS) and any(name in MOVES for name, _, _ in nested.steps):
+            return self._from_far_end(nested).select("_v"), ["_v"]
         origin = [f"_o{len([c for c in self.df.columns if c.startswith('_o')])}{k}" for k in keys]
-        refs = [c for c in self.df.columns if c.startswith("as:")]
+        refs = [c for c in self.df.columns if c.startswith("as:") or c == "_loops"]
         base = self.df.select(*keys, *[f"`{c}`" for c in refs]).distinct().withColumns({o: F.col(k) for o, k in zip(origin, keys)})
         inner = nested.on(Traversal(self.graph, base, self.kind, tags=self.tags, scope=(*origin, *refs)))
         if isinstance(inner, Reduced):
@@ -254,7 +303,8 @@ class Traversal:
         return reduce(lambda t, n: t.where(n), nested, self)
 
     def or_(self, *nested: Steps) -> Traversal:
-        parts = [self._passing(n) for n in nested]
+        far = all(_closed(n, MOVES | TESTS) and any(name in MOVES for name, _, _ in n.steps) for n in nested)
+        parts = [self._passing(n, far) for n in nested]
         keys = parts[0][1]
         rows = reduce(DataFrame.union, [p[0] for p in parts]).distinct().toDF(*[f"_m{i}" for i in range(len(keys))])
         match = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)])
@@ -466,15 +516,16 @@ class Traversal:
     flatMap = local
 
     def repeat(self, nested: Steps, times: int | None = None, until: Steps | None = None, emit: bool = False, limit: int | None = None) -> Traversal:
-        """``times`` rounds, or rounds ``until`` a test holds; ``emit`` also keeps what every round reaches.
+        """``times`` rounds, or rounds ``until`` a test holds; ``emit`` also keeps what every round reaches. A test may ask for ``loops``.
 
         Without ``times`` rounds go on until no traverser is left, each written once. On a cycle that never happens: after more rounds than
         there are elements to stand on, ValueError is raised. A ``limit`` ends the rounds before that, with a warning if it leaves traversers.
         """
-        now, out, done, most = self, [], 0, None
+        outer = f"_loops{sum(c.startswith('_loops') for c in self.df.columns)}"
+        now, done, most = self._new(self.df.withColumnRenamed("_loops", outer).withColumn("_loops", F.lit(0))), 0, None
+        out: list[Traversal] = []
         while times is None or done < times:
             if times is None:
-                now = now._new(materialize(now.df, "repeat"))
                 if now.df.isEmpty():
                     break
                 if limit is not None and done >= limit:
@@ -484,14 +535,28 @@ class Traversal:
                 if most is not None and done > most:
                     raise ValueError(f"repeat goes round a cycle: traversers are left after {done} rounds")
             now, done = nested.on(now), done + 1
+            now = now._new(now.df.withColumn("_loops", F.lit(done)))
             if until is not None:
-                out.append(now.where(until))
-                now = now.not_(until)
-            elif emit:
-                out.append(now)
-        if until is None and not emit:
-            return now
-        return self._merge(out) if out else self
+                rows, keys = now._passing(until)
+                rows = rows.toDF(*[f"_m{i}" for i in range(len(keys))]).withColumn("_hit", F.lit(True))
+                match = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"_m{i}")) for i, k in enumerate(keys)])
+                now = now._new(now.df.join(rows, match, "left").drop(*[f"_m{i}" for i in range(len(keys))]))
+            if times is None:
+                now = now._new(materialize(now.df, "repeat"))
+            hit = F.col("_hit").isNotNull() if until is not None else F.lit(True)
+            if emit or until is not None:
+                out.append(now._new((now.df if emit else now.df.where(hit)).drop("_hit")))
+            if until is not None:
+                now = now._new(now.df.where(~hit).drop("_hit"))
+            if times is None and len(out) > 8:  # what has come out so far, as one table
+                out = [self._merge(out)]
+                out = [out[0]._new(materialize(out[0].df, "repeat"))]
+        got = now if until is None and not emit else self._merge(out) if out else self
+        return got._new(got.df.drop("_loops").withColumnRenamed(outer, "_loops"))
+
+    def loops(self) -> Traversal:
+        """How many rounds of the ``repeat`` around it a traverser has made; 0 outside of one."""
+        return self._value(F.col("_loops") if "_loops" in self.df.columns else F.lit(0))
 
     def _elements(self) -> int | None:
         """How many places a traverser can stand on; None for values, which have no bound."""
@@ -573,7 +638,42 @@ class Traversal:
         """The graph of the current edges and their ends."""
         e = self.df.select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
         ends = e.select(F.explode(F.array("src", "dst")).alias("vid")).distinct()
-        return PropertyGraph(self.graph.vertices.join(ends, "vid", "left_semi"), self.graph.edges.join(e, ["src", "dst"], "left_semi"))
+        return self.graph.with_(self.graph.vertices.join(ends, "vid", "left_semi"), self.graph.edges.join(e, ["src", "dst"], "left_semi"))
+
+    # -- side effects --------------------------------------------------------------------------------------------------------
+
+    def aggregate(self, name: str) -> Traversal:
+        """Keep the current elements under ``name`` and go on with them."""
+        return self._new(self.df, sides={**self.sides, name: self})
+
+    store = aggregate
+
+    def cap(self, name: str) -> Reduced:
+        """The list of what was kept under ``name``; ``side(name)`` is the same as traversers, for lists of any size."""
+        return self.sides[name].fold()
+
+    def side(self, name: str) -> Traversal:
+        return self.sides[name]
+
+    def _among(self, name: str, how: str) -> Traversal:
+        kept = self.sides[name]
+        if kept.kind != self.kind:
+            raise ValueError(f"{name} holds another kind of elements")
+        rows = kept.df.select(*[F.col(k).alias(f"_m{i}") for i, k in enumerate(kept._key())])
+        return self._new(self.df.join(rows, reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_m{i}") for i, k in enumerate(self._key())]), how))
+
+    def within(self, name: str) -> Traversal:
+        """Traversers on an element kept under ``name``."""
+        return self._among(name, "left_semi")
+
+    def without(self, name: str) -> Traversal:
+        """Traversers on an element not kept under ``name``."""
+        return self._among(name, "left_anti")
+
+    def tree(self) -> DataFrame:
+        """``(depth, path, n)``: every beginning of a recorded path, once, with the number of traversers that went through it."""
+        starts = F.transform(F.sequence(F.lit(1), F.size("_path")), lambda k: F.slice("_path", 1, k))
+        return self._tracked().df.select(F.explode(starts).alias("path")).groupBy("path").agg(F.count(F.lit(1)).alias("n")).select((F.size("path") - 1).alias("depth"), "path", "n")
 
     # -- terminals -----------------------------------------------------------------------------------------------------------
 
@@ -593,9 +693,21 @@ class Traversal:
             raise StopIteration
         return row[0] if len(row) == 1 else tuple(row)
 
+    def iterate(self) -> Traversal:
+        """Compute all rows and return none of them."""
+        self.df.write.format("noop").mode("overwrite").save()
+        return self
+
     def explain(self, mode: str = "formatted") -> None:
         self.df.explain(mode)
 
+    def profile(self) -> DataFrame:
+        """One row ``(rows, seconds, plan)`` of a run whose rows go nowhere."""
+        seen, began = Observation(), time.time()
+        self.df.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        plan = self.df._jdf.queryExecution().executedPlan().toString()
+        return self.graph.spark.createDataFrame([(seen.get["rows"], time.time() - began, plan)], "rows long, seconds double, plan string")
+
 
 class Reduced:
     """A reducing step: one value over all traversers, or one per origin inside a nested traversal."""

@@ -18,8 +18,6 @@ from loomgraph.operators.traversal import VERTEX, Compared, Reduced, Source, Tra
 from loomgraph.plans.language import Atom, Const, Not, Op, Test, Var, as_steps, variables
 
 EXIST, FORALL = "exist", "forall"
-#: Rows that binding an unrestricted variable to all vertices may make before a query is refused.
-MAX_PADDED = 20_000_000
 
 
 @dataclass(frozen=True)
@@ -109,8 +107,8 @@ def _pad(graph: PropertyGraph, df: DataFrame, have: tuple[str, ...], want: tuple
     new = [n for n in want if n not in have]
     if new:
         size = df.count() * graph.vertices.count() ** len(new)
-        if size > MAX_PADDED:
-            raise ValueError(f"the filter leaves {', '.join(new)} unrestricted in {size} bindings; the limit is {MAX_PADDED}")
+        if size > graph.options.max_bindings:
+            raise ValueError(f"the filter leaves {', '.join(new)} unrestricted in {size} bindings; the limit is {graph.options.max_bindings}")
     for n in new:
         df = df.crossJoin(graph.vertices.select(F.col("vid").alias(n)))
     return df.select(*want)
@@ -125,7 +123,7 @@ def _and(graph: PropertyGraph, a: Relation, b: Relation) -> Relation:
         names = (*a.names, *[n for n in b.names if n not in a.names])
         if shared:
             return Relation(names, a.df.join(b.df, shared).select(*names), True)
-        if a.df.count() * b.df.count() > MAX_PADDED:
+        if a.df.count() * b.df.count() > graph.options.max_bindings:
             raise ValueError("two conditions without a common variable have too many bindings together")
         return Relation(names, a.df.crossJoin(b.df).select(*names), True)
     if a.positive != b.positive:

@@ -16,21 +16,16 @@ from loomgraph.plans.language import variables
 from loomgraph.plans.quantify import EXIST, FORALL, Relation, relation
 from loomgraph.storage import materialize
 
-#: Vertices over which subsets are tried one by one; 2 to this power masks are tested at most.
-MAX_VERTICES = 24
-#: Vertices up to which all masks are tested at once whatever the sentence: one stage instead of one per set size.
-MASKED = 16
-#: Vertices whose compatible pairs may be listed for a filter that is stored by its false tuples.
-MAX_PAIRS_OF = 5000
-
 SCHEMA = "vids array<bigint>, size int"
 
 
-def _sizes(graph: PropertyGraph, having, n: int) -> set[int]:
-    return {r["size"] for r in graph.spark.range(n + 1).select(F.col("id").cast("int").alias("size")).where(having).collect()}
+def _largest(graph: PropertyGraph, having, n: int) -> int:
+    """The largest set size up to ``n`` that ``having`` allows, or -1."""
+    top = graph.spark.range(n + 1).select(F.col("id").cast("int").alias("size")).where(having).agg(F.max("size").alias("top")).first()["top"]
+    return -1 if top is None else top
 
 
-def _grown(graph: PropertyGraph, rel: Relation, x: str, y: str, sizes: set[int], n: int) -> DataFrame:
+def _grown(graph: PropertyGraph, rel: Relation, x: str, y: str, having, top: int) -> DataFrame:
     """Sets in which every pair is compatible: grown level by level, each set carrying who may still join it."""
     spark, v = graph.spark, graph.vertices.select("vid")
     if rel.df is None:
@@ -52,8 +47,8 @@ def _grown(graph: PropertyGraph, rel: Relation, x: str, y: str, sizes: set[int],
     else:
         if rows is not None:
             v = v.join(rows.where("a = b").select(F.col("a").alias("vid")), "vid", "left_anti")
-        if v.count() > MAX_PAIRS_OF:
-            raise ValueError(f"more than {MAX_PAIRS_OF} vertices satisfy the filter with almost every other")
+        if v.count() > graph.options.max_pairs_of:
+            raise ValueError(f"more than {graph.options.max_pairs_of} vertices satisfy the filter with almost every other")
         compat = v.withColumnRenamed("vid", "a").join(v.withColumnRenamed("vid", "b"), F.col("a") < F.col("b"))
         if rows is not None:
             wrong = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
@@ -62,21 +57,20 @@ def _grown(graph: PropertyGraph, rel: Relation, x: str, y: str, sizes: set[int],
     later = compat.groupBy(F.col("a").alias("vid")).agg(F.array_sort(F.collect_set("b")).alias("next"))
     later = materialize(v.join(later, "vid", "left").select("vid", F.coalesce("next", none).alias("next")), "later")
     level = later.select(F.array("vid").alias("vids"), F.col("next").alias("ext"))
-    parts = [spark.createDataFrame([([],)], "vids array<bigint>")] if 0 in sizes else []
-    size, top = 1, max(sizes, default=0)
+    parts = [spark.createDataFrame([([],)], "vids array<bigint>")]
+    size = 1
     while size <= top:
         level = materialize(level, "level")
         if level.isEmpty():
             break
-        if size in sizes:
-            parts.append(level.select("vids"))
+        parts.append(level.select("vids"))
         grown = level.select("vids", "ext", F.explode("ext").alias("vid")).join(later, "vid")
         level = grown.select(F.array_append("vids", F.col("vid")).alias("vids"), F.array_intersect("ext", "next").alias("ext"))
         size += 1
-    out = spark.createDataFrame([], "vids array<bigint>")
-    for p in parts:
+    out = parts[0]
+    for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("vids", F.size("vids").alias("size"))
+    return out.select("vids", F.size("vids").alias("size")).where(having)
 
 
 def _truth(rel: Relation, order: list[str], ids: list[int]) -> np.ndarray:
@@ -86,7 +80,7 @@ def _truth(rel: Relation, order: list[str], ids: list[int]) -> np.ndarray:
     if rel.df is None:
         return table
     axes = [order.index(name) for name in rel.names]
-    for row in rel.df.select(*rel.names).collect():  # at most MAX_VERTICES to the number of variables
+    for row in rel.df.select(*rel.names).collect():  # at most max_vset_vertices to the number of variables
         if all(v in at for v in row):
             where: list = [slice(None)] * len(order)
             for axis, v in zip(axes, row):
@@ -95,14 +89,21 @@ def _truth(rel: Relation, order: list[str], ids: list[int]) -> np.ndarray:
     return table
 
 
-def _core(table: np.ndarray) -> np.ndarray:
-    """For "all have a partner": vertices that can be in a set at all, the greatest set each of which has a partner in it."""
-    alive = np.ones(len(table), bool)
-    while True:
-        new = alive & (table & alive).any(axis=1)
-        if (new == alive).all():
-            return np.flatnonzero(alive)
-        alive = new
+def _partnered(graph: PropertyGraph, rel: Relation, names: list[str]) -> list[int]:
+    """For "all have a partner": vertices that can be in a set at all, the greatest set each of which has a partner in it, sorted.
+
+    Peeled by semi-joins for a filter of both variables that is stored by its true tuples. Others restrict nothing here. At most one
+    vertex more than ``max_vset_vertices`` comes out.
+    """
+    x, y = names
+    alive = graph.vertices.select("vid")
+    if rel.df is not None and rel.positive and set(rel.names) == {x, y}:
+        pairs = materialize(rel.df.select(x, y), "pairs")
+        alive = pairs.select(F.col(x).alias("vid")).distinct().join(alive, "vid", "left_semi")
+        n = None
+        while n != (n := alive.count()):
+            alive = materialize(pairs.join(alive.withColumnRenamed("vid", y), y, "left_semi").select(F.col(x).alias("vid")).distinct().join(alive, "vid", "left_semi"), "alive")
+    return sorted(r["vid"] for r in alive.limit(graph.options.max_vset_vertices + 1).collect())
 
 
 def _masks(table: np.ndarray, quantifiers: list[str], ids: list[int]):
@@ -143,7 +144,7 @@ def subsets(graph: PropertyGraph, prefix: list[tuple[str, str]], expr: object, h
 
     Variables range over the set. The empty set holds if the outermost quantifier is "forall". Sentences of one or two
     "forall" are grown from compatible pairs and need no bound on the graph, only on their result. Others are tested mask
-    by mask over the vertices that can occur at all; more than ``MAX_VERTICES`` of them raise ValueError rather than
+    by mask over the vertices that can occur at all; more than ``options.max_vset_vertices`` of them raise ValueError rather than
     cut the result. Vertices come sorted inside a set.
     """
     loose = variables(expr) - {v for v, _ in prefix}
@@ -151,29 +152,26 @@ def subsets(graph: PropertyGraph, prefix: list[tuple[str, str]], expr: object, h
         raise ValueError(f"{', '.join(sorted(loose))} in the filter has no quantifier")
     rel = relation(graph, expr)
     names, kinds = [v for v, _ in prefix], [q for _, q in prefix]
-    n = graph.vertices.count()
-    if n > MASKED and prefix and set(kinds) == {FORALL} and len(names) <= 2 and len(set(names)) == len(names):
+    n, most, masked = graph.vertices.count(), graph.options.max_vset_vertices, graph.options.masked_vertices
+    if n > masked and prefix and set(kinds) == {FORALL} and len(names) <= 2 and len(set(names)) == len(names):
         x, y = names if len(names) == 2 else (names[0], names[0])
-        return _grown(graph, rel, x, y, _sizes(graph, having, n), n)
-    if n > MASKED and not prefix:  # all sets of an allowed size, or none
-        sizes = _sizes(graph, having, n)
+        return _grown(graph, rel, x, y, having, _largest(graph, having, n))
+    if n > masked and not prefix:  # all sets of an allowed size, or none
         if rel.positive:
             return graph.spark.createDataFrame([], SCHEMA)
-        return _grown(graph, Relation((), None, False), "x", "x", sizes, n)
+        return _grown(graph, Relation((), None, False), "x", "x", having, _largest(graph, having, n))
     if len(set(names)) < len(names):  # an inner variable of the same name hides the outer one
         names, kinds = zip(*{v: q for v, q in prefix}.items())
         names, kinds = list(names), list(kinds)
-    ids = [r["vid"] for r in graph.vertices.select("vid").orderBy("vid").limit(4096).collect()] if n <= 4096 else None
-    if ids is None:
-        raise ValueError(f"this sentence is enumerated over at most {MAX_VERTICES} vertices; the graph has {n}")
-    if len(ids) > MAX_VERTICES and kinds != [FORALL, EXIST]:
-        raise ValueError(f"this sentence is enumerated over at most {MAX_VERTICES} vertices; the graph has {n}")
+    if n > most and kinds != [FORALL, EXIST]:
+        raise ValueError(f"this sentence is enumerated over at most {most} vertices; the graph has {n}")
+    if kinds == [FORALL, EXIST]:  # vertices that can occur at all
+        ids = _partnered(graph, rel, names)
+        if len(ids) > most:
+            raise ValueError(f"this sentence is enumerated over at most {most} vertices; more can occur")
+    else:
+        ids = sorted(r["vid"] for r in graph.vertices.select("vid").collect())  # at most max_vset_vertices
     table = _truth(rel, names, ids)
-    if kinds == [FORALL, EXIST]:
-        keep = _core(table)
-        ids, table = [ids[i] for i in keep], table[np.ix_(keep, keep)]
-        if len(ids) > MAX_VERTICES:
-            raise ValueError(f"this sentence is enumerated over at most {MAX_VERTICES} vertices; {len(ids)} can occur")
     masks = graph.spark.range(1 << len(ids)).withColumn("size", F.bit_count("id")).where(having)
     return masks.select("id").mapInArrow(_masks(table, kinds, ids), SCHEMA)
 

@@ -2,63 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions.predicates import between, gt, gte, starting_with, within
-from loomgraph.model import PropertyGraph
 from loomgraph.operators import algorithms as A
 from loomgraph.operators import mutation as M
 from loomgraph.operators.changes import apply_changes
 from loomgraph.operators.result import subset_counts
 from loomgraph.operators.second_order import SecondOrder
 from loomgraph.operators.traversal import __
-from loomgraph.sources import views
-from loomgraph.sources.views import CUSTOMER, NATION, REGION, SUPPLIER
+from loomgraph.queries.base import CLOSED, CROSS, HUB, LEVELS, ORACLE, QUERIES, STRONG, WEAK, market, nation, nxt, part, people, query, trade, walk
+from loomgraph.sources.views import NATION, REGION
 from loomgraph.storage import materialize, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(view: Callable[[SparkSession, str], PropertyGraph], sql: str | None = None):
-    """Register a query over one graph view, by the name of its function, with its SQL after the view's own tables."""
-
-    def add(f: Callable[[PropertyGraph], DataFrame]):
-        QUERIES[f.__name__] = lambda spark, folder: f(view(spark, folder))
-        if sql:
-            ORACLE[f.__name__] = f"WITH RECURSIVE {_TABLES[view]}{sql}"
-        return f
-
-    return add
-
-
-_PART = """pv AS (SELECT p_partkey AS vid, CAST(dense_rank() OVER (ORDER BY p_brand) - 1 AS INT) AS community, p_name AS name, p_size AS size, p_retailprice AS price FROM part),
- pe AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS dst
-  FROM lineitem WHERE l_quantity >= 43) WHERE dst IS NOT NULL AND src <> dst)"""
-_TRADE = f"""tv AS (SELECT {REGION} + r_regionkey AS vid, 'region' AS label, r_name AS name, CAST(NULL AS DOUBLE) AS balance, CAST(NULL AS VARCHAR) AS segment FROM region
-  UNION ALL SELECT {NATION} + n_nationkey, 'nation', n_name, NULL, NULL FROM nation
-  UNION ALL SELECT {CUSTOMER} + c_custkey, 'customer', c_name, c_acctbal, c_mktsegment FROM customer
-  UNION ALL SELECT {SUPPLIER} + s_suppkey, 'supplier', s_name, s_acctbal, NULL FROM supplier),
- te AS (SELECT CAST({NATION} + n_nationkey AS BIGINT) AS src, CAST({REGION} + n_regionkey AS BIGINT) AS dst, 'in_region' AS label FROM nation
-  UNION ALL SELECT {CUSTOMER} + c_custkey, {NATION} + c_nationkey, 'in_nation' FROM customer
-  UNION ALL SELECT {SUPPLIER} + s_suppkey, {NATION} + s_nationkey, 'in_nation' FROM supplier
-  UNION ALL SELECT DISTINCT {CUSTOMER} + o_custkey, {SUPPLIER} + l_suppkey, 'buys_from' FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
-_NATION = """nv AS (SELECT CAST(n_nationkey AS BIGINT) AS vid, n_regionkey FROM nation WHERE n_nationkey < 10),
- sold AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey WHERE c_nationkey < 10 AND s_nationkey < 10 GROUP BY 1, 2),
- ne AS (SELECT a.vid AS src, b.vid AS dst FROM nv a JOIN nv b ON a.n_regionkey = b.n_regionkey AND a.vid < b.vid
-  UNION SELECT src, dst FROM sold WHERE src <> dst AND n * (SELECT count(*) FROM sold) > (SELECT sum(n) FROM sold)),
- nu AS (SELECT src, dst FROM ne UNION SELECT dst, src FROM ne),
- masks AS (SELECT range AS mask, bit_count(range) AS size FROM range(0, 1024)),
- held AS (SELECT mask, size, vid FROM masks JOIN nv ON (mask >> vid) & 1 = 1)"""
-_PEOPLE = """gv AS (SELECT vid, coalesce(CAST(label AS VARCHAR), 'vertex') AS label, community FROM graph_vertices),
- ge AS (SELECT DISTINCT src, dst FROM graph_edges WHERE src IS NOT NULL AND dst IS NOT NULL)"""
-_TABLES = {views.part_graph: _PART, views.trade_graph: _TRADE, views.nation_graph: _NATION, views.people_graph: _PEOPLE}
-part, trade, nation, people = views.part_graph, views.trade_graph, views.nation_graph, views.people_graph
-
 # -- reads ------------------------------------------------------------------------------------------------------------------
 
 
@@ -109,7 +66,7 @@ def induced_subgraph(g):
     return g.induced(g.vertices.where("label <> 'customer' OR balance > 5000").select("vid")).edges.select("src", "dst", "label")
 
 
-@query(people, " SELECT src AS vid, count(*) AS n_neighbours, min(dst) AS least FROM ge GROUP BY src UNION ALL SELECT vid, 0, NULL FROM gv WHERE vid NOT IN (SELECT src FROM ge)")
+@query(people, " SELECT src AS vid, count(*) AS n_neighbours, min(dst) AS least FROM pe GROUP BY src UNION ALL SELECT vid, 0, NULL FROM pv WHERE vid NOT IN (SELECT src FROM pe)")
 def adjacency(g):
     return g.adjacency().select("vid", F.size("neighbours").cast("long").alias("n_neighbours"), F.get("neighbours", F.lit(0)).alias("least"))
 
@@ -152,7 +109,7 @@ def in_steps(g):
     return g.traversal().V().hasLabel("region").in_("in_region").in_("in_nation").frame()
 
 
-@query(people, " , nb AS (SELECT src AS a, dst AS b FROM ge WHERE src <> dst UNION SELECT dst, src FROM ge WHERE src <> dst) SELECT b AS vid, count(*) AS n FROM nb GROUP BY b")
+@query(people, " , nb AS (SELECT src AS a, dst AS b FROM pe WHERE src <> dst UNION SELECT dst, src FROM pe WHERE src <> dst) SELECT b AS vid, count(*) AS n FROM nb GROUP BY b")
 def both(g):
     return g.traversal().V().both().frame().groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
 
@@ -162,7 +119,7 @@ def outE_inV(g):
     return g.traversal().V().outE("in_nation").inV().frame()
 
 
-@query(people, " SELECT vid, count(*) AS n FROM (SELECT src AS vid FROM ge UNION ALL SELECT dst FROM ge) GROUP BY vid")
+@query(people, " SELECT vid, count(*) AS n FROM (SELECT src AS vid FROM pe UNION ALL SELECT dst FROM pe) GROUP BY vid")
 def bothE_otherV(g):
     return g.traversal().V().bothE().otherV().frame().groupBy("vid").agg(F.count(F.lit(1)).alias("n"))
 
@@ -218,19 +175,19 @@ def order_limit(g):
     return g.traversal().V().has("balance").order(("balance", "desc")).range(5, 30).frame()
 
 
-@query(people, " SELECT DISTINCT a.src AS vid FROM ge a JOIN ge b ON a.dst = b.src AND b.dst = a.src")
+@query(people, " SELECT DISTINCT a.src AS vid FROM pe a JOIN pe b ON a.dst = b.src AND b.dst = a.src")
 def dedup(g):
     return g.traversal().V().as_("a").out().out().as_("b").where_same("a", "b").dedup().frame()
 
 
-@query(trade, f" SELECT DISTINCT c.dst AS vid FROM te a JOIN te b ON a.dst = b.src JOIN te c ON b.dst = c.src WHERE a.src = {CUSTOMER + 1}")
+@query(trade, " SELECT DISTINCT c.dst AS vid FROM te a JOIN te b ON a.dst = b.src JOIN te c ON b.dst = c.src JOIN tv ON a.src = tv.vid WHERE tv.label = 'customer'")
 def repeat_times(g):
-    return g.traversal().V(CUSTOMER + 1).repeat(__.out(), times=3).dedup().frame()
+    return g.traversal().V().hasLabel("customer").repeat(__.out(), times=3).dedup().frame()
 
 
-@query(trade, f" , r AS (SELECT {SUPPLIER + 1} AS vid, 0 AS k UNION ALL SELECT dst, k + 1 FROM r JOIN te ON src = vid WHERE k < 3) SELECT CAST(vid AS BIGINT) AS vid FROM r WHERE k > 0")
+@query(trade, "RECURSIVE , r AS (SELECT vid, 0 AS k FROM tv WHERE label = 'supplier' UNION ALL SELECT dst, k + 1 FROM r JOIN te ON src = vid WHERE k < 3) SELECT CAST(vid AS BIGINT) AS vid FROM r WHERE k > 0")
 def repeat_emit(g):
-    return g.traversal().V(SUPPLIER + 1).repeat(__.out(), times=3, emit=True).frame()
+    return g.traversal().V().hasLabel("supplier").repeat(__.out(), times=3, emit=True).frame()
 
 
 @query(trade, " SELECT x.src AS a, x.dst AS b, y.dst AS c FROM te x JOIN te y ON x.src = y.src JOIN te z ON x.dst = z.src AND z.dst = y.dst WHERE x.label = 'buys_from' AND y.label = 'in_nation' AND z.label = 'in_nation'")
@@ -238,9 +195,9 @@ def match_triangle(g):
     return g.traversal().V().match(("a", "buys_from", "b"), ("a", "in_nation", "c"), ("b", "in_nation", "c")).select("a", "b", "c")
 
 
-@query(trade, f" SELECT a.src || ',' || a.dst || ',' || b.dst AS path FROM te a JOIN te b ON a.dst = b.src WHERE a.src = {CUSTOMER + 3}")
+@query(trade, " SELECT a.src || ',' || a.dst || ',' || b.dst AS path FROM te a JOIN te b ON a.dst = b.src JOIN tv ON a.src = tv.vid WHERE tv.label = 'customer'")
 def path(g):
-    return g.traversal().V(CUSTOMER + 3).with_path().out().out().simplePath().path().select(F.concat_ws(",", "path").alias("path"))
+    return g.traversal().V().hasLabel("customer").with_path().out().out().simplePath().path().select(F.concat_ws(",", "path").alias("path"))
 
 
 @query(trade, " SELECT dst AS vid FROM te WHERE label = 'in_region' UNION ALL SELECT src FROM te WHERE label = 'in_region' AND dst IN (SELECT vid FROM tv WHERE label = 'region')")
@@ -314,74 +271,74 @@ ORACLE["delta_overlay"] = """WITH last AS (SELECT src, dst, op FROM (SELECT *, r
 
 # -- algorithms -------------------------------------------------------------------------------------------------------------------
 
-_UND = ", u AS (SELECT src AS a, dst AS b FROM pe UNION SELECT dst, src FROM pe), ur AS (SELECT vid AS a, vid AS b FROM pv UNION SELECT ur.a, u.b FROM ur JOIN u ON ur.b = u.a), wc AS (SELECT a AS vid, min(b) AS component FROM ur GROUP BY a)"
-_DIR = ", r AS (SELECT vid AS a, vid AS b FROM pv UNION SELECT r.a, pe.dst FROM r JOIN pe ON r.b = pe.src), sc AS (SELECT x.a AS vid, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a), se AS (SELECT DISTINCT a.component AS src, b.component AS dst FROM pe JOIN sc a ON pe.src = a.vid JOIN sc b ON pe.dst = b.vid WHERE a.component <> b.component)"
-_HUB = "(SELECT min(src) FROM pe WHERE src IN (SELECT src FROM pe GROUP BY src HAVING count(*) = (SELECT max(n) FROM (SELECT count(*) AS n FROM pe GROUP BY src))))"
-_WALK = f", w AS (SELECT {_HUB} AS vid, 0 AS d UNION SELECT dst, d + 1 FROM w JOIN pe ON src = vid WHERE d < 300), bf AS (SELECT vid, CAST(min(d) AS BIGINT) AS distance FROM w GROUP BY vid)"
-
 
 def _hub(g) -> int:
     top = g.edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "src").first()
     return top["src"]
 
 
-@query(part, f"{_WALK} SELECT vid, distance FROM bf")
+@query(part, f"RECURSIVE , {HUB}, {walk()} SELECT vid, distance FROM bf")
 def bfs_dist(g):
     return A.bfs(g, _hub(g)).select("vid", "distance")
 
 
-@query(part, f"{_WALK} SELECT vid FROM bf")
+@query(part, f"RECURSIVE , {HUB}, {walk()} SELECT vid FROM bf")
 def bfs_set(g):
     return SecondOrder(g).BFS(_hub(g)).found()
 
 
-@query(part, f"{_UND} SELECT vid, component FROM wc")
+@query(nxt, f"RECURSIVE , {WEAK} SELECT vid, component FROM wc")
 def wcc(g):
     return A.wcc(g)
 
 
-@query(part, f"{_UND} SELECT vid, CAST(dense_rank() OVER (ORDER BY component) - 1 AS BIGINT) AS component_id FROM wc")
+@query(nxt, f"RECURSIVE , {WEAK} SELECT vid, CAST(dense_rank() OVER (ORDER BY component) - 1 AS BIGINT) AS component_id FROM wc")
 def wcc_numbered(g):
     return A.numbered(A.wcc(g))
 
 
-@query(part, f"{_UND}, s AS (SELECT count(*) AS n FROM wc GROUP BY component) SELECT count(*) AS n_components, max(n) AS largest, min(n) AS smallest, round(avg(n), 6) AS average FROM s")
+@query(nxt, f"RECURSIVE , {WEAK}, s AS (SELECT count(*) AS n FROM wc GROUP BY component) SELECT count(*) AS n_components, max(n) AS largest, min(n) AS smallest, round(avg(n), 6) AS average FROM s")
 def wcc_stats(g):
     return A.component_stats(A.wcc(g))
 
 
-@query(part, f"{_DIR} SELECT vid, component FROM sc")
+@query(nxt, f"RECURSIVE , {STRONG} SELECT vid, component FROM sc")
 def scc(g):
     return A.scc(g)
 
 
-@query(part, f"{_DIR} SELECT src, dst FROM se")
+@query(nxt, f"RECURSIVE , {STRONG} SELECT src, dst FROM se")
 def scc_dag(g):
     return A.condensation(g, A.scc(g))
 
 
-@query(part, f"{_DIR}, lv AS (SELECT DISTINCT component AS vid, 0 AS level FROM sc UNION SELECT dst, level + 1 FROM lv JOIN se ON src = vid) SELECT vid, CAST(max(level) AS BIGINT) AS level FROM lv GROUP BY vid")
+@query(nxt, f"RECURSIVE , {LEVELS} SELECT vid, level FROM lv")
 def scc_levels(g):
     parts = materialize(A.scc(g), "scc")
     return A.levels(A.condensed(g, parts))
 
 
-@query(part, f"{_DIR} SELECT s.vid AS src, t.vid AS dst, EXISTS (SELECT 1 FROM r WHERE r.a = s.vid AND r.b = t.vid) AS reachable FROM (SELECT vid FROM pv ORDER BY vid LIMIT 12) s CROSS JOIN (SELECT vid FROM pv ORDER BY vid LIMIT 12) t")
+def _asked(g) -> DataFrame:
+    """The query set of searches: every vertex whose id is divisible by 20."""
+    return g.vertices.where("vid % 20 = 0").select("vid")
+
+
+@query(nxt, f"RECURSIVE , {CLOSED} SELECT s.vid AS src, t.vid AS dst, EXISTS (SELECT 1 FROM r WHERE r.a = s.vid AND r.b = t.vid) AS reachable FROM pv s, (SELECT min(vid) AS vid FROM pv GROUP BY community) t WHERE s.vid % 20 = 0")
 def reachable(g):
-    """The pairs of the twelve first parts: the pairs asked about are the query, the search runs over the whole graph."""
-    ids = [r["vid"] for r in g.vertices.select("vid").orderBy("vid").limit(12).collect()]
-    return A.reachable(g, [(a, b) for a in ids for b in ids])
+    """Whether every asked part reaches the smallest part of each brand."""
+    brands = g.vertices.groupBy("community").agg(F.min("vid").alias("vid")).agg(F.collect_list("vid").alias("firsts"))  # one id a brand
+    return A.reachable(g, _asked(g).select(F.col("vid").alias("src")).join(F.broadcast(brands)).select("src", F.explode("firsts").alias("dst")))
 
 
-@query(part, f"{_WALK} SELECT distance AS position, count(*) AS n FROM (SELECT range AS distance FROM range(0, 1 + (SELECT max(distance) FROM bf))) GROUP BY 1")
+@query(nxt, f"RECURSIVE , {HUB}, {walk()} SELECT distance AS position, vid FROM bf")
 def shortest_path(g):
-    """A path to one of the farthest vertices: one vertex at every distance."""
+    """The path to the farthest vertex: no vertex has two edges out, so all that the start reaches lies on it."""
     h = _hub(g)
     far = A.bfs(g, h).orderBy(F.desc("distance"), "vid").first()["vid"]
-    return A.shortest_path(g, h, far).groupBy("position").agg(F.count(F.lit(1)).alias("n"))
+    return A.shortest_path(g, h, far)
 
 
-@query(part, f" SELECT vid FROM pv WHERE community = (SELECT community FROM pv WHERE vid = {_HUB})")
+@query(part, f", {HUB} SELECT vid FROM pv WHERE community = (SELECT community FROM pv WHERE vid = (SELECT vid FROM hub))")
 def community_search(g):
     return A.community_search(g, _hub(g))
 
@@ -391,71 +348,100 @@ def community_stats(g):
     return A.component_stats(A.communities(g))
 
 
-_CROSS = " , c AS (SELECT pe.src, pe.dst, a.community AS cu, b.community AS cv FROM pe JOIN pv a ON pe.src = a.vid JOIN pv b ON pe.dst = b.vid WHERE a.community <> b.community)"
-
-
-@query(part, f"{_CROSS} SELECT src AS vid, cu AS community FROM c UNION SELECT dst, cv FROM c")
+@query(part, f", {CROSS} SELECT src AS vid, cu AS community FROM c UNION SELECT dst, cv FROM c")
 def boundary_vertices(g):
     return A.boundary_vertices(g)
 
 
-@query(part, f"{_CROSS} SELECT cu, cv, count(*) AS n_edges FROM c GROUP BY 1, 2")
+@query(part, f", {CROSS} SELECT cu, cv, count(*) AS n_edges FROM c GROUP BY 1, 2")
 def boundary_pairs(g):
     return A.boundary_pairs(g)
 
 
-@query(part, f"{_CROSS}, q AS (SELECT cu AS a, cv AS b FROM c UNION SELECT cv, cu FROM c), qr AS (SELECT DISTINCT community AS a, community AS b FROM pv UNION SELECT qr.a, q.b FROM qr JOIN q ON qr.b = q.a) SELECT CAST(a AS BIGINT) AS vid, CAST(min(b) AS BIGINT) AS component FROM qr GROUP BY a")
+@query(nxt, f"RECURSIVE , {CROSS}, q AS (SELECT cu AS a, cv AS b FROM c UNION SELECT cv, cu FROM c), qr AS (SELECT DISTINCT community AS a, community AS b FROM pv UNION SELECT qr.a, q.b FROM qr JOIN q ON qr.b = q.a) SELECT CAST(a AS BIGINT) AS vid, CAST(min(b) AS BIGINT) AS component FROM qr GROUP BY a")
 def quotient_wcc(g):
     return A.wcc(A.quotient(g))
 
 
-@query(people)
+@query(people, f"RECURSIVE , {WEAK} SELECT vid, component FROM wc")
 def people_wcc(g):
     return A.wcc(g)
 
 
-@query(people)
+@query(people, f"RECURSIVE , {STRONG} SELECT vid, component FROM sc")
 def people_scc(g):
     return A.scc(g)
 
 
-@query(people, " , h AS (SELECT src FROM ge GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), w AS (SELECT src AS vid, 0 AS d FROM h UNION SELECT ge.dst, d + 1 FROM w JOIN ge ON ge.src = w.vid WHERE d < 20) SELECT vid, CAST(min(d) AS BIGINT) AS distance FROM w GROUP BY vid")
+@query(people, f"RECURSIVE , {HUB}, {walk()} SELECT vid, distance FROM bf")
 def people_bfs(g):
     return A.bfs(g, _hub(g)).select("vid", "distance")
 
 
-@query(part, f"{_WALK} SELECT count(*) AS visited, max(distance) AS depth, round(avg(distance), 6) AS mean_distance FROM bf")
+@query(part, f"RECURSIVE , {HUB}, {walk()} SELECT count(*) AS visited, max(distance) AS depth, round(avg(distance), 6) AS mean_distance FROM bf")
 def bfs_stats(g):
     return A.bfs(g, _hub(g)).agg(F.count(F.lit(1)).alias("visited"), F.max("distance").alias("depth"), F.round(F.avg("distance"), 6).alias("mean_distance"))
 
 
-@query(part, f" , w AS (SELECT {_HUB} AS vid, 0 AS d UNION SELECT src, d + 1 FROM w JOIN pe ON dst = vid WHERE d < 300) SELECT vid, CAST(min(d) AS BIGINT) AS distance FROM w GROUP BY vid")
+@query(nxt, f"RECURSIVE , {HUB}, {walk('dst', 'src')} SELECT vid, distance FROM bf")
 def bfs_reverse(g):
     return A.bfs(g, _hub(g), "in").select("vid", "distance")
 
 
-@query(people, " , h AS (SELECT src FROM ge GROUP BY src ORDER BY count(*) DESC, src LIMIT 1), m AS (SELECT vid FROM gv WHERE community = (SELECT community FROM gv JOIN h ON vid = src)), ie AS (SELECT src, dst FROM ge WHERE src IN (SELECT vid FROM m) AND dst IN (SELECT vid FROM m)), w AS (SELECT src AS vid, 0 AS d FROM h WHERE src IN (SELECT vid FROM m) UNION SELECT ie.dst, d + 1 FROM w JOIN ie ON ie.src = w.vid WHERE d < 60) SELECT vid, CAST(min(d) AS BIGINT) AS distance FROM w GROUP BY vid")
+_INSIDE = "m AS MATERIALIZED (SELECT vid FROM pv WHERE community = (SELECT community FROM pv WHERE vid = (SELECT vid FROM hub))), ie AS MATERIALIZED (SELECT src, dst FROM pe WHERE src IN (SELECT vid FROM m) AND dst IN (SELECT vid FROM m)), st AS MATERIALIZED (SELECT vid FROM hub WHERE vid IN (SELECT vid FROM m))"
+
+
+@query(people, f"RECURSIVE , {HUB}, {_INSIDE}, {walk(edges='ie', start='st')} SELECT vid, distance FROM bf")
 def bfs_in_community(g):
     h = _hub(g)
     own = g.vertices.where(F.col("vid") == h).first()["community"]
     return A.bfs(g, h, community=own if own is not None else -1).select("vid", "distance")
 
 
-@query(part, f"{_CROSS}, b AS (SELECT src AS v FROM c UNION SELECT dst FROM c), i AS (SELECT pe.src, pe.dst FROM pe JOIN pv a ON pe.src = a.vid JOIN pv z ON pe.dst = z.vid WHERE a.community = z.community), ir AS (SELECT v AS s, v AS t FROM b UNION SELECT ir.s, i.dst FROM ir JOIN i ON ir.t = i.src) SELECT src, dst, 'cross' AS kind FROM c UNION ALL SELECT s, t, 'inside' FROM ir WHERE s <> t AND t IN (SELECT v FROM b)")
+@query(nxt, f"RECURSIVE , {CROSS}, b AS (SELECT src AS v FROM c UNION SELECT dst FROM c), i AS (SELECT pe.src, pe.dst FROM pe JOIN pv a ON pe.src = a.vid JOIN pv z ON pe.dst = z.vid WHERE a.community = z.community), ir AS (SELECT vid AS s, vid AS t FROM pv UNION SELECT ir.s, i.dst FROM ir JOIN i ON ir.t = i.src), k AS (SELECT x.s AS vid, min(x.t) AS class FROM ir x JOIN ir y ON x.s = y.t AND x.t = y.s GROUP BY x.s) SELECT 'cross' AS kind, src, dst FROM c UNION ALL SELECT 'member', v, class FROM b JOIN k ON vid = v UNION ALL SELECT DISTINCT 'link', a.class, z.class FROM i JOIN k a ON i.src = a.vid JOIN k z ON i.dst = z.vid WHERE a.class <> z.class")
 def enriched_boundary(g):
     return A.enriched_boundary(g)
 
 
-@query(part, f"{_DIR}, lv AS (SELECT DISTINCT component AS vid, 0 AS level FROM sc UNION SELECT dst, level + 1 FROM lv JOIN se ON src = vid), top AS (SELECT vid, max(level) AS level FROM lv GROUP BY vid), n AS (SELECT level, count(*) AS n FROM top GROUP BY 1) SELECT (SELECT count(*) FROM top) AS n_vertices, (SELECT count(*) FROM se) AS n_edges, CAST((SELECT max(level) + 1 FROM n) AS BIGINT) AS n_levels, (SELECT max(n) FROM n) AS widest, (SELECT max(k) FROM (SELECT count(*) AS k FROM se GROUP BY src)) AS max_out, (SELECT max(k) FROM (SELECT count(*) AS k FROM se GROUP BY dst)) AS max_in")
+@query(nxt, f"RECURSIVE , {LEVELS}, n AS (SELECT level, count(*) AS n FROM lv GROUP BY 1) SELECT (SELECT count(*) FROM lv) AS n_vertices, (SELECT count(*) FROM se) AS n_edges, CAST((SELECT max(level) + 1 FROM n) AS BIGINT) AS n_levels, (SELECT max(n) FROM n) AS widest, (SELECT max(k) FROM (SELECT count(*) AS k FROM se GROUP BY src)) AS max_out, (SELECT max(k) FROM (SELECT count(*) AS k FROM se GROUP BY dst)) AS max_in")
 def dag_stats(g):
     dag = A.condensed(g, materialize(A.scc(g), "scc"))
     return A.dag_stats(dag)
 
 
-@query(part, " , s AS (SELECT vid FROM pv ORDER BY vid LIMIT 40), r AS (SELECT vid AS src, vid AS dst FROM s UNION SELECT r.src, pe.dst FROM r JOIN pe ON r.dst = pe.src) SELECT src, dst FROM r WHERE dst IN (SELECT vid FROM pv WHERE price > 930)")
+@query(nxt, f"RECURSIVE , {CLOSED} SELECT a AS src, b AS dst FROM r WHERE a % 20 = 0 AND b IN (SELECT vid FROM pv WHERE price > 930)")
 def closure_to_targets(g):
-    ids = [r["vid"] for r in g.vertices.select("vid").orderBy("vid").limit(40).collect()]
-    return A.closure(g, ids, g.vertices.where("price > 930").select("vid"))
+    return A.closure(g, _asked(g), g.vertices.where("price > 930").select("vid"))
+
+
+# The same in distributed rounds, whatever the size: no task holds a graph.
+
+
+@query(people, f"RECURSIVE , {HUB}, {walk()} SELECT vid, distance FROM bf")
+def rounds_bfs(g):
+    return A.bfs(g, _hub(g), local_edges=0).select("vid", "distance")
+
+
+@query(people, f"RECURSIVE , {WEAK} SELECT vid, component FROM wc")
+def rounds_wcc(g):
+    return A.wcc(g, 0)
+
+
+@query(people, f"RECURSIVE , {STRONG} SELECT vid, component FROM sc")
+def rounds_scc(g):
+    return A.scc(g, 0)
+
+
+@query(people, f"RECURSIVE , {LEVELS} SELECT vid, level FROM lv")
+def rounds_levels(g):
+    return A.levels(A.condensed(g, materialize(A.scc(g, 0), "scc")), 0)
+
+
+@query(people, f"RECURSIVE , {HUB}, {walk()}, far AS (SELECT min(vid) AS vid FROM bf WHERE distance = (SELECT max(distance) FROM bf)), up(vid, position) AS (SELECT vid, (SELECT max(distance) FROM bf) FROM far UNION ALL SELECT min(b.vid), min(b.distance) FROM up JOIN pe ON pe.dst = up.vid JOIN bf b ON b.vid = pe.src AND b.distance = up.position - 1 HAVING count(*) > 0) SELECT position, vid FROM up")
+def rounds_path(g):
+    h = _hub(g)
+    far = A.bfs(g, h, local_edges=0).orderBy(F.desc("distance"), "vid").first()["vid"]
+    return A.shortest_path(g, h, far, 0)
 
 
 @query(trade, " SELECT a.name AS buyer, r.name AS region FROM te x JOIN te y ON x.dst = y.src JOIN tv a ON a.vid = x.src JOIN tv r ON r.vid = y.dst WHERE x.label = 'in_nation' AND y.label = 'in_region'")
@@ -493,17 +479,17 @@ def so_forall_forall(g):
     return SecondOrder(g).SecondOrder().forall("x").forall("y").filter("!g.V(x).out().is(y) || g.V(y).out().is(x)").execute()
 
 
-@query(part, f"{_UND} SELECT component AS subset_id, vid FROM wc WHERE component IN (SELECT component FROM wc GROUP BY 1 HAVING count(*) > 1)")
+@query(nxt, f"RECURSIVE , {WEAK} SELECT component AS subset_id, vid FROM wc WHERE component IN (SELECT component FROM wc GROUP BY 1 HAVING count(*) > 1)")
 def wcc_filter(g):
     return SecondOrder(g).WCC().forall("x").exist("y").filter("g.V(x).bothE().otherV().is(y)").having("size > 1").members()
 
 
-@query(part, f"{_DIR} SELECT component AS subset_id, vid FROM sc WHERE component NOT IN (SELECT x.component FROM sc x WHERE NOT EXISTS (SELECT 1 FROM pe JOIN sc y ON pe.dst = y.vid WHERE pe.src = x.vid AND y.component = x.component))")
+@query(nxt, f"RECURSIVE , {STRONG} SELECT component AS subset_id, vid FROM sc WHERE component NOT IN (SELECT x.component FROM sc x WHERE NOT EXISTS (SELECT 1 FROM pe JOIN sc y ON pe.dst = y.vid WHERE pe.src = x.vid AND y.component = x.component))")
 def scc_filter(g):
     return SecondOrder(g).SCC().forall("x").exist("y").filter("g.V(x).out().is(y)").members()
 
 
-@query(part, f"{_DIR}, k AS (SELECT component, count(*) AS n FROM sc GROUP BY 1) SELECT component AS subset_id, n AS size FROM k WHERE n <= 3 AND component IN (SELECT a.component FROM sc a JOIN pv ON a.vid = pv.vid WHERE pv.price > 950)")
+@query(nxt, f"RECURSIVE , {STRONG}, k AS (SELECT component, count(*) AS n FROM sc GROUP BY 1) SELECT component AS subset_id, n AS size FROM k WHERE n <= 3 AND component IN (SELECT a.component FROM sc a JOIN pv ON a.vid = pv.vid WHERE pv.price > 950)")
 def scc_exists_price(g):
     return SecondOrder(g).SCC().exist("x").filter("g.V(x).has('price', gt(950))").having("size <= 3").sizes()
 
@@ -513,7 +499,7 @@ def community_filter(g):
     return SecondOrder(g).Community().exist("x").exist("y").filter("g.V(x).out().is(y)").sizes()
 
 
-@query(people, " , k AS (SELECT community, count(*) AS n FROM gv WHERE community IS NOT NULL GROUP BY 1) SELECT CAST(community AS BIGINT) AS subset_id, n AS size FROM k WHERE NOT EXISTS (SELECT 1 FROM gv WHERE gv.community = k.community AND vid NOT IN (SELECT src FROM ge))")
+@query(people, " , k AS (SELECT community, count(*) AS n FROM pv WHERE community IS NOT NULL GROUP BY 1) SELECT CAST(community AS BIGINT) AS subset_id, n AS size FROM k WHERE NOT EXISTS (SELECT 1 FROM pv WHERE pv.community = k.community AND vid NOT IN (SELECT src FROM pe))")
 def community_all_have_out(g):
     return SecondOrder(g).Community().forall("x").filter("g.V(x).out()").sizes()
 
@@ -526,91 +512,59 @@ def _masked(found: DataFrame) -> DataFrame:
     return found.select(_mask(), "size")
 
 
-@query(nation, " SELECT mask, CAST(size AS INT) AS size FROM masks m WHERE NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.mask = y.mask WHERE x.mask = m.mask AND x.vid <> y.vid AND NOT EXISTS (SELECT 1 FROM nu WHERE src = x.vid AND dst = y.vid))")
-def vset_cliques(g):
-    return _masked(SecondOrder(g).Vset().forall("x").forall("y").filter("g.V(x).bothE().otherV().is(y) || g.V(x).is(y)").execute())
+def _listed(found: DataFrame) -> DataFrame:
+    return found.select(F.array_join("vids", ",").alias("vids"), "size")
 
 
-@query(nation, " SELECT mask, CAST(size AS INT) AS size FROM masks m WHERE size > 1 AND NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.mask = y.mask JOIN nu ON nu.src = x.vid AND nu.dst = y.vid WHERE x.mask = m.mask AND x.vid <> y.vid)")
-def vset_independent(g):
-    return _masked(SecondOrder(g).Vset().forall("x").forall("y").filter("g.V(x).bothE().otherV().is(y).count().is(0) || g.V(x).is(y)").having("size > 1").execute())
+#: Sets grown by one later vertex at a time, as bit masks; ``{}`` is the test of a mask against the neighbours of the new vertex.
+_GROWN = "RECURSIVE , k AS (SELECT CAST(0 AS BIGINT) AS mask, CAST(-1 AS BIGINT) AS last UNION ALL SELECT mask | (CAST(1 AS BIGINT) << vid), vid FROM k JOIN near ON vid > last WHERE {}), s AS (SELECT mask, CAST(bit_count(mask) AS INT) AS size FROM k)"
+_CLIQUES, _APART = _GROWN.format("(mask & others) = mask"), _GROWN.format("(mask & others) = 0")
+_CLIQUE, _LONERS = "g.V(x).bothE().otherV().is(y) || g.V(x).is(y)", "g.V(x).bothE().otherV().is(y).count().is(0) || g.V(x).is(y)"
 
 
-@query(nation, " SELECT mask, CAST(size AS INT) AS size FROM masks m WHERE NOT EXISTS (SELECT 1 FROM held x WHERE x.mask = m.mask AND NOT EXISTS (SELECT 1 FROM held y JOIN ne ON ne.src = x.vid AND ne.dst = y.vid WHERE y.mask = m.mask))")
-def vset_forall_exists(g):
-    return _masked(SecondOrder(g).Vset().forall("x").exist("y").filter("g.V(x).out().is(y)").execute())
+@query(nation, _CLIQUES + " SELECT mask, size FROM s")
+def vset_cliques(g):
+    return _masked(SecondOrder(g).Vset().forall("x").forall("y").filter(_CLIQUE).execute())
 
 
-@query(nation, " SELECT mask, CAST(size AS INT) AS size FROM masks m WHERE EXISTS (SELECT 1 FROM held x WHERE x.mask = m.mask AND NOT EXISTS (SELECT 1 FROM held y WHERE y.mask = m.mask AND y.vid <> x.vid AND NOT EXISTS (SELECT 1 FROM ne WHERE ne.src = x.vid AND ne.dst = y.vid)))")
-def vset_exists_forall(g):
-    return _masked(SecondOrder(g).Vset().exist("x").forall("y").filter("g.V(x).out().is(y) || g.V(x).is(y)").execute())
+@query(nation, _APART + " SELECT mask, size FROM s WHERE size > 1")
+def vset_independent(g):
+    return _masked(SecondOrder(g).Vset().forall("x").forall("y").filter(_LONERS).having("size > 1").execute())
 
 
-@query(nation, " SELECT mask, CAST(size AS INT) AS size FROM masks WHERE size = 2")
+@query(nation, " SELECT (CAST(1 AS BIGINT) << a.vid) | (CAST(1 AS BIGINT) << b.vid) AS mask, CAST(2 AS INT) AS size FROM nv a JOIN nv b ON a.vid < b.vid")
 def vset_size2(g):
     return _masked(SecondOrder(g).Vset().having("size == 2").execute())
 
 
-@query(nation, " , k AS (SELECT m.mask FROM masks m WHERE size >= 2 AND NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.mask = y.mask WHERE x.mask = m.mask AND x.vid <> y.vid AND NOT EXISTS (SELECT 1 FROM nu WHERE src = x.vid AND dst = y.vid))) SELECT k.mask, count(*) AS n_vertices, (SELECT count(*) FROM ne JOIN held a ON a.vid = ne.src AND a.mask = k.mask JOIN held b ON b.vid = ne.dst AND b.mask = k.mask) AS n_edges FROM k JOIN held USING (mask) GROUP BY 1")
+@query(nation, _CLIQUES + ", h AS (SELECT s.mask, vid FROM s JOIN nv ON (mask >> vid) & 1 = 1 WHERE size >= 2) SELECT h.mask, count(*) AS n_vertices, (SELECT count(*) FROM ne JOIN h a ON a.vid = ne.src AND a.mask = h.mask JOIN h b ON b.vid = ne.dst AND b.mask = h.mask) AS n_edges FROM h GROUP BY 1")
 def serialize_counts(g):
-    found = SecondOrder(g).Vset().forall("x").forall("y").filter("g.V(x).bothE().otherV().is(y) || g.V(x).is(y)").having("size >= 2").execute()
+    found = SecondOrder(g).Vset().forall("x").forall("y").filter(_CLIQUE).having("size >= 2").execute()
     found = materialize(found, "subsets")
     members = found.select("subset_id", F.explode("vids").alias("vid"))
     return subset_counts(g, members).join(found.select("subset_id", _mask()), "subset_id").select("mask", "n_vertices", "n_edges")
 
 
-# -- the same over whole tables ---------------------------------------------------------------------------------------------------------
-
+#: The sets of the market graph, mask by mask; ``{}`` is the sentence about the mask ``m``.
+_SETS = " SELECT coalesce((SELECT string_agg(h.vid, ',' ORDER BY h.vid) FROM held h WHERE h.mask = m.mask), '') AS vids, size FROM masks m WHERE {}"
 
-def whole(name: str, view: Callable[[SparkSession, str], PropertyGraph], of: Callable[[PropertyGraph], DataFrame], sql: str | None = None) -> None:
-    """Register ``of`` over a view without the selection of its small one; SQL only where it is fast enough."""
-    QUERIES[f"{name}_all"] = lambda spark, folder: of(view(spark, folder))
-    if sql:
-        ORACLE[f"{name}_all"] = sql
 
-
-_NATIONS = """WITH RECURSIVE nv AS (SELECT CAST(n_nationkey AS BIGINT) AS vid, n_regionkey FROM nation),
- sold AS (SELECT CAST(c_nationkey AS BIGINT) AS src, CAST(s_nationkey AS BIGINT) AS dst, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2),
- ne AS (SELECT a.vid AS src, b.vid AS dst FROM nv a JOIN nv b ON a.n_regionkey = b.n_regionkey AND a.vid < b.vid
-  UNION SELECT src, dst FROM sold WHERE src <> dst AND n * (SELECT count(*) FROM sold) > (SELECT sum(n) FROM sold)),
- nu AS (SELECT src, dst FROM ne UNION SELECT dst, src FROM ne),
- near AS (SELECT vid, coalesce(sum(CAST(1 AS BIGINT) << dst), 0)::BIGINT AS others FROM nv LEFT JOIN nu ON src = vid GROUP BY 1)"""
-#: Sets grown by one later vertex at a time, as bit masks; ``{}`` is the test of a mask against the neighbours of the new vertex.
-_GROWN = _NATIONS + """, k AS (SELECT CAST(0 AS BIGINT) AS mask, CAST(-1 AS BIGINT) AS last UNION ALL SELECT mask | (CAST(1 AS BIGINT) << vid), vid FROM k JOIN near ON vid > last WHERE {}), s AS (SELECT mask, CAST(bit_count(mask) AS INT) AS size FROM k)"""
-_CLIQUES, _APART = _GROWN.format("(mask & others) = mask"), _GROWN.format("(mask & others) = 0")
-whole("so_exists_forall", views.all_nations_graph, so_exists_forall, _NATIONS + " SELECT EXISTS (SELECT 1 FROM nv x WHERE NOT EXISTS (SELECT 1 FROM nv y WHERE x.vid <> y.vid AND NOT EXISTS (SELECT 1 FROM nu WHERE src = x.vid AND dst = y.vid))) AS holds")
-whole("vset_cliques", views.all_nations_graph, vset_cliques, _CLIQUES + " SELECT mask, size FROM s")
-whole("vset_independent", views.all_nations_graph, vset_independent, _APART + " SELECT mask, size FROM s WHERE size > 1")
-whole("vset_size2", views.all_nations_graph, vset_size2, _NATIONS + " SELECT (CAST(1 AS BIGINT) << a.vid) | (CAST(1 AS BIGINT) << b.vid) AS mask, CAST(2 AS INT) AS size FROM nv a JOIN nv b ON a.vid < b.vid")
-whole("serialize_counts", views.all_nations_graph, serialize_counts, _CLIQUES + ", h AS (SELECT s.mask, vid FROM s JOIN nv ON (mask >> vid) & 1 = 1 WHERE size >= 2) SELECT h.mask, count(*) AS n_vertices, (SELECT count(*) FROM ne JOIN h a ON a.vid = ne.src AND a.mask = h.mask JOIN h b ON b.vid = ne.dst AND b.mask = h.mask) AS n_edges FROM h GROUP BY 1")
-
-#: Queries of the part graph over all rows of ``lineitem``. Those that close a relation over it in SQL have no SQL.
-_ITEMS = _PART.replace("\n  FROM lineitem WHERE l_quantity >= 43)", "\n  FROM lineitem)")
-_FAST = {boundary_vertices, boundary_pairs, quotient_wcc, so_exists_exists, so_forall_exists, so_forall_forall, community_filter}
-for _of in (wcc, wcc_numbered, wcc_stats, scc, scc_dag, scc_levels, dag_stats, bfs_dist, bfs_set, bfs_stats, bfs_reverse, shortest_path, boundary_vertices, boundary_pairs, quotient_wcc, enriched_boundary,
-            so_exists_exists, so_forall_exists, so_forall_forall, wcc_filter, scc_filter, scc_exists_price, community_filter):
-    whole(_of.__name__, views.all_items_graph, _of, ORACLE[_of.__name__].replace(_PART, _ITEMS) if _of in _FAST else None)
-
-
-def _asked(g: PropertyGraph) -> DataFrame:
-    return g.vertices.where("vid % 20 = 0").select("vid")
+@query(market, _SETS.format("NOT EXISTS (SELECT 1 FROM held x WHERE x.mask = m.mask AND NOT EXISTS (SELECT 1 FROM held y JOIN me ON me.src = x.vid AND me.dst = y.vid WHERE y.mask = m.mask))"))
+def vset_forall_exists(g):
+    return _listed(SecondOrder(g).Vset().forall("x").exist("y").filter("g.V(x).out().is(y)").execute())
 
 
-def reachable_all(g):
-    """All pairs of the parts whose id is divisible by 20."""
-    return A.reachable(g, _asked(g).toDF("src").crossJoin(_asked(g).toDF("dst")))
+@query(market, _SETS.format("EXISTS (SELECT 1 FROM held x WHERE x.mask = m.mask AND NOT EXISTS (SELECT 1 FROM held y WHERE y.mask = m.mask AND y.vid <> x.vid AND NOT EXISTS (SELECT 1 FROM me WHERE me.src = x.vid AND me.dst = y.vid)))"))
+def vset_exists_forall(g):
+    return _listed(SecondOrder(g).Vset().exist("x").forall("y").filter("g.V(x).out().is(y) || g.V(x).is(y)").execute())
 
 
-def closure_to_targets_all(g):
-    return A.closure(g, _asked(g), g.vertices.where("price > 930").select("vid"))
+@query(market, _SETS.format("EXISTS (SELECT 1 FROM held x JOIN held y ON x.mask = y.mask JOIN me ON me.src = x.vid AND me.dst = y.vid WHERE x.mask = m.mask) AND size <= 4"))
+def vset_exists_exists(g):
+    return _listed(SecondOrder(g).Vset().exist("x").exist("y").filter("g.V(x).out().is(y)").having("size <= 4").execute())
 
 
-whole("reachable", views.all_items_graph, reachable_all)
-whole("closure_to_targets", views.all_items_graph, closure_to_targets_all)
-whole("path", trade, lambda g: g.traversal().V().hasLabel("customer").with_path().out().out().simplePath().path().select(F.concat_ws(",", "path").alias("path")),
-      f"WITH RECURSIVE {_TRADE} SELECT a.src || ',' || a.dst || ',' || b.dst AS path FROM te a JOIN te b ON a.dst = b.src JOIN tv ON a.src = tv.vid WHERE tv.label = 'customer'")
-whole("repeat_times", trade, lambda g: g.traversal().V().hasLabel("customer").repeat(__.out(), times=3).dedup().frame(),
-      f"WITH RECURSIVE {_TRADE} SELECT DISTINCT c.dst AS vid FROM te a JOIN te b ON a.dst = b.src JOIN te c ON b.dst = c.src JOIN tv ON a.src = tv.vid WHERE tv.label = 'customer'")
-whole("repeat_emit", trade, lambda g: g.traversal().V().hasLabel("supplier").repeat(__.out(), times=3, emit=True).frame(),
-      f"WITH RECURSIVE {_TRADE}, r AS (SELECT vid, 0 AS k FROM tv WHERE label = 'supplier' UNION ALL SELECT dst, k + 1 FROM r JOIN te ON src = vid WHERE k < 3) SELECT CAST(vid AS BIGINT) AS vid FROM r WHERE k > 0")
+@query(market, _SETS.format("NOT EXISTS (SELECT 1 FROM held x JOIN held y ON x.mask = y.mask JOIN held z ON x.mask = z.mask JOIN me a ON a.src = x.vid AND a.dst = y.vid JOIN me b ON b.src = y.vid AND b.dst = z.vid WHERE x.mask = m.mask AND z.vid = x.vid)"))
+def vset_three_variables(g):
+    """Sets without a region and a segment that lead to each other."""
+    return _listed(SecondOrder(g).Vset().forall("x").forall("y").forall("z").filter("!(g.V(x).out().is(y) && g.V(y).out().is(z) && g.V(z).is(x))").execute())

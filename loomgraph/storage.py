@@ -77,15 +77,21 @@ def _release_all() -> None:
 atexit.register(_release_all)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/loomgraph/{os.getpid()}-{name}-{uuid.uuid4().hex}"
+    _LIVE.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "state") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it: the lineage ends here.
 
     Files are zstd Parquet, deleted by :func:`release` or when the process ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loomgraph/{os.getpid()}-{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    _LIVE.add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loom_path = path
     return out
