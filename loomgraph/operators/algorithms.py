@@ -17,7 +17,7 @@ from loomgraph.model import PropertyGraph
 from loomgraph.operators.local import Csr, forests, in_one_task
 from loomgraph.operators.skew import Spread, lookup
 from loomgraph.operators.sweep import running_totals
-from loomgraph.storage import Grown, materialize, release
+from loomgraph.storage import Grown, materialize, n_rows, release
 
 
 def _bound(graph: PropertyGraph, local_edges: int | None) -> int:
@@ -33,13 +33,14 @@ def _oriented(edges: DataFrame, direction: str) -> DataFrame:
 def _frontiers(edges: DataFrame, begin: DataFrame, most: int = 8) -> Grown:
     """The parts ``(origin, vid, distance, parent)`` of a search from ``begin (origin, vid)``; the last part is empty.
 
-    With ``most`` above the depth, every part holds one distance.
+    With ``most`` above the depth, every part holds one distance. Edges with a column ``origin`` are those of that origin alone.
     """
-    out = Spread(edges, "src")
+    own = ["origin", "src"] if "origin" in edges.columns else ["src"]
+    out = Spread(edges, own)
     none = F.lit(None).cast("long")
     seen = Grown("reached", most)
     frontier, level = seen.add(begin.select("origin", "vid", F.lit(0).cast("long").alias("distance"), none.alias("parent"))), 0
-    while not frontier.isEmpty():
+    while n_rows(frontier):
         level += 1
         step = out.join(frontier.select("origin", F.col("vid").alias("src"))).groupBy("origin", F.col("dst").alias("vid")).agg(F.min("src").alias("parent"))
         step = step.join(seen.frame().select("origin", "vid"), ["origin", "vid"], "left_anti")
@@ -158,10 +159,12 @@ def _degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("vid").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
-def _around(edges: DataFrame, pivot: int) -> tuple[DataFrame, DataFrame]:
-    """``(vid)`` of what ``pivot`` reaches, and of what reaches it."""
-    begin = edges.sparkSession.createDataFrame([(pivot, pivot)], "origin long, vid long")
-    return tuple(_frontiers(_oriented(edges, way), begin).frame().select("vid") for way in ("out", "in"))
+def _around(edges: DataFrame, pivot: int) -> DataFrame:
+    """``(vid, ways)`` of what ``pivot`` reaches (1) and of what reaches it (2), or both (3); both searches share their rounds."""
+    ways = [_oriented(edges, way).withColumn("origin", F.lit(k).cast("long")) for k, way in ((1, "out"), (2, "in"))]
+    begin = edges.sparkSession.createDataFrame([(1, pivot), (2, pivot)], "origin long, vid long")
+    found = _frontiers(ways[0].unionByName(ways[1]), begin)
+    return found.frame().groupBy("vid").agg(F.sum("origin").cast("int").alias("ways"))
 
 
 def _colours(edges: DataFrame) -> DataFrame:
@@ -172,7 +175,7 @@ def _colours(edges: DataFrame) -> DataFrame:
     while True:
         pushed = out.join(moved.withColumnRenamed("vid", "src")).groupBy(F.col("dst").alias("vid")).agg(F.min("c").alias("new"))
         moved = materialize(pushed.join(colour, "vid").where("new < c").select("vid", F.col("new").alias("c")), "moved")
-        if moved.isEmpty():
+        if not n_rows(moved):
             out.release()
             return colour
         changed = colour.join(moved.withColumnRenamed("c", "new"), "vid", "left").select("vid", F.coalesce("new", "c").alias("c"))
@@ -190,13 +193,12 @@ def _peel(edges: DataFrame, done: Grown) -> DataFrame:
     """
     degrees = materialize(_degrees(edges), "degrees")
     pivot = degrees.orderBy(F.desc(F.col("n_out") * F.col("n_in")), "vid").first()["vid"]
-    ahead, behind = (side.withColumn(f"_{i}", F.lit(True)) for i, side in enumerate(_around(edges, pivot)))
-    marks = degrees.join(ahead, "vid", "left").join(behind, "vid", "left")
-    marks = materialize(marks.select("vid", "n_out", "n_in", (F.when(F.col("_0"), 1).otherwise(0) + F.when(F.col("_1"), 2).otherwise(0)).alias("mark")), "marks")
+    marks = degrees.join(_around(edges, pivot), "vid", "left")
+    marks = materialize(marks.select("vid", "n_out", "n_in", F.coalesce("ways", F.lit(0)).alias("mark")), "marks")
     core = marks.where("mark = 3").select("vid")
     done.add(core.join(F.broadcast(core.agg(F.min("vid").alias("component")))))  # one row
     edges = materialize(_between(edges, marks).where("a = b AND a <> 3").select("src", "dst"), "rest")
-    if edges.isEmpty():
+    if not n_rows(edges):
         return edges
     colour = _colours(edges)
     marks = materialize(colour.join(_degrees(edges), "vid").select("vid", F.col("c").alias("mark"), "n_out", "n_in"), "marks")
@@ -224,7 +226,7 @@ def scc(graph: PropertyGraph, local_edges: int | None = None) -> DataFrame:
     rest = graph.edges.select("src", "dst").where("src <> dst")
     if rest.count() > bound:
         rest = _trimmed(materialize(rest, "rest"))
-    while (n := rest.count()) > bound:
+    while (n := n_rows(rest)) > bound:
         rest = _peel(rest, done)
 
     def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
@@ -276,7 +278,7 @@ def levels(dag: PropertyGraph, local_edges: int | None = None) -> DataFrame:
         linked = in_one_task(edges, kernel, "vid long, level long")
     else:
         rest, level, done = materialize(edges, "rest"), 0, Grown("levels")
-        while not rest.isEmpty():  # peel the sources; what then has no edge left lies one level below
+        while n_rows(rest):  # peel the sources; what then has no edge left lies one level below
             degrees = materialize(_degrees(rest), "degrees")
             heads = degrees.where("n_in = 0")
             if heads.isEmpty():

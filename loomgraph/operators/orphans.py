@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators.skew import is_small, lookup
 from loomgraph.operators.sweep import running_totals
-from loomgraph.storage import Grown, materialize, release
+from loomgraph.storage import Grown, materialize, n_rows, release
 
 #: Microseconds; before and after every timestamp.
 _BEFORE = -(1 << 62)
@@ -155,7 +155,7 @@ def cascade(tables: dict[str, DataFrame], row_ids: dict[str, str], keys: Sequenc
             rid = row_ids[t]
             one = heirs.groupBy(rid).agg(F.min(F.struct("ref_column", "period")).alias("x")).select(rid, "x.ref_column", F.lit("inherited").alias("reason"), "x.period", F.lit(level).alias("level"))
             one = materialize(one.join(gone[t].frame().withColumnRenamed("id", rid), rid, "left_anti").select(rid, "ref_column", "reason", "period", "level"), "heirs")
-            if not one.isEmpty():
+            if n_rows(one):
                 fresh[t] = gone[t].add(found[t].add(one).select(F.col(rid).alias("id")))
             release(spark, one)
         for old in used:

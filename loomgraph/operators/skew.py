@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.storage import materialize, release
+from loomgraph.storage import materialize, n_rows, release
 
 #: Tasks over which the rows of one key are spread.
 SALTS = 16
@@ -17,6 +17,9 @@ HOT_ROWS = 1 << 20
 
 def is_small(table: DataFrame, most: int = SMALL_ROWS) -> bool:
     """Counted, not estimated."""
+    known = getattr(table, "_loom_rows", None)
+    if known is not None:
+        return known <= most
     return table.limit(most + 1).count() <= most
 
 
@@ -49,15 +52,15 @@ class Spread:
     The rows are written once. If there are more than ``hot_rows``, keys with more than that are found by one count.
     """
 
-    def __init__(self, rows: DataFrame, key: str, hot_rows: int = HOT_ROWS, salts: int = SALTS):
-        self.key, self.salts, self.hot = key, salts, None
-        self.rows = materialize(rows, "spread")
+    def __init__(self, rows: DataFrame, key: str | list[str], hot_rows: int = HOT_ROWS, salts: int = SALTS):
+        self.key, self.salts, self.hot = [key] if isinstance(key, str) else key, salts, None
+        self.table = self.rows = materialize(rows, "spread")
         if not is_small(self.rows, hot_rows):
-            hot = materialize(self.rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(key), "hot")
-            if is_small(hot) and not hot.isEmpty():  # so many that they balance each other need no salt
+            hot = materialize(self.rows.groupBy(*self.key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(*self.key), "hot")
+            if is_small(hot) and n_rows(hot):  # so many that they balance each other need no salt
                 self.hot = hot.withColumn("_hot", F.lit(True))
                 salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(salts)).cast("int")
-                self.rows = self.rows.join(F.broadcast(self.hot), key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
+                self.rows = self.rows.join(F.broadcast(self.hot), self.key, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0)).drop("_hot")
 
     def join(self, asking: DataFrame) -> DataFrame:
         """All pairs of a row and one of ``asking`` with the same key."""
@@ -65,7 +68,7 @@ class Spread:
             return asking.join(self.rows, self.key)
         last = F.when(F.col("_hot"), F.lit(self.salts - 1)).otherwise(0)
         asking = asking.join(F.broadcast(self.hot), self.key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), last))).drop("_hot")
-        return asking.join(self.rows, [self.key, "_salt"]).drop("_salt")
+        return asking.join(self.rows, [*self.key, "_salt"]).drop("_salt")
 
     def release(self) -> None:
-        release(self.rows.sparkSession, self.rows)
+        release(self.table.sparkSession, self.table)

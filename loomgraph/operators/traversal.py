@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from loomgraph.functions.predicates import P, predicate
 from loomgraph.functions.values import VALUE_STEPS
 from loomgraph.model import EDGE_CORE, VERTEX_CORE, PropertyGraph
-from loomgraph.storage import materialize
+from loomgraph.storage import materialize, n_rows
 
 VERTEX, EDGE, VALUE = "vertex", "edge", "value"
 
@@ -522,11 +522,11 @@ class Traversal:
         there are elements to stand on, ValueError is raised. A ``limit`` ends the rounds before that, with a warning if it leaves traversers.
         """
         outer = f"_loops{sum(c.startswith('_loops') for c in self.df.columns)}"
-        now, done, most = self._new(self.df.withColumnRenamed("_loops", outer).withColumn("_loops", F.lit(0))), 0, None
+        now, done, most, left = self._new(self.df.withColumnRenamed("_loops", outer).withColumn("_loops", F.lit(0))), 0, None, None
         out: list[Traversal] = []
         while times is None or done < times:
             if times is None:
-                if now.df.isEmpty():
+                if (left == 0) if left is not None else now.df.isEmpty():
                     break
                 if limit is not None and done >= limit:
                     warnings.warn(f"repeat stopped after {limit} rounds with traversers left", stacklevel=2)
@@ -543,6 +543,7 @@ class Traversal:
                 now = now._new(now.df.join(rows, match, "left").drop(*[f"_m{i}" for i in range(len(keys))]))
             if times is None:
                 now = now._new(materialize(now.df, "repeat"))
+                left = n_rows(now.df) if until is None or not n_rows(now.df) else None
             hit = F.col("_hit").isNotNull() if until is not None else F.lit(True)
             if emit or until is not None:
                 out.append(now._new((now.df if emit else now.df.where(hit)).drop("_hit")))

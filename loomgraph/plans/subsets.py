@@ -14,7 +14,7 @@ from loomgraph.model import PropertyGraph
 from loomgraph.operators.sweep import running_totals
 from loomgraph.plans.language import variables
 from loomgraph.plans.quantify import EXIST, FORALL, Relation, relation
-from loomgraph.storage import materialize
+from loomgraph.storage import materialize, n_rows
 
 SCHEMA = "vids array<bigint>, size int"
 
@@ -61,7 +61,7 @@ def _grown(graph: PropertyGraph, rel: Relation, x: str, y: str, having, top: int
     size = 1
     while size <= top:
         level = materialize(level, "level")
-        if level.isEmpty():
+        if not n_rows(level):
             break
         parts.append(level.select("vids"))
         grown = level.select("vids", "ext", F.explode("ext").alias("vid")).join(later, "vid")

@@ -9,9 +9,11 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LIVE: set[str] = set()
 
@@ -84,19 +86,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _observed(seen: Observation) -> int | None:
+    """The observed row count; None if Spark's listener has lost it."""
+    box: list[int] = []
+    waiting = threading.Thread(target=lambda: box.append(seen.get["rows"]), daemon=True)
+    waiting.start()
+    waiting.join(60)
+    return box[0] if box else None
+
+
 def materialize(df: DataFrame, name: str = "state") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it: the lineage ends here.
 
-    Files are zstd Parquet, deleted by :func:`release` or when the process ends.
+    Files are zstd Parquet, deleted by :func:`release` or when the process ends. Rows are counted while they are written.
     """
-    spark = df.sparkSession
+    spark, seen = df.sparkSession, Observation()
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._loom_path = path
+    out._loom_path, out._loom_rows = path, _observed(seen)
     return out
 
 
+def n_rows(df: DataFrame) -> int:
+    """Its number of rows: known of a frame that :func:`materialize` returned, else counted."""
+    known = getattr(df, "_loom_rows", None)
+    return df.count() if known is None else known
+
+
 class Grown:
     """A table that rounds append to. Parts are written once and folded into one when there are more than ``most``, so a plan
     that reads it stays small however many rounds there are."""
