@@ -41,15 +41,18 @@ def _fill(rest: np.ndarray, small: np.ndarray) -> np.ndarray:
     return out
 
 
-def pack(sizes: np.ndarray, capacity: int, filler_class: int = FILLER_CLASS) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int, filler_class: int = FILLER_CLASS, filled: np.ndarray | None = None) -> np.ndarray:
     """Container numbers from 0 for items of at most ``capacity``.
 
     An item of class k has a size in (capacity/(k+1), capacity/k], and k of them make a full container of their class.
     Small items first go to the space that containers of larger classes leave; the others make containers of
-    their own class. Containers short of their count are opened again, and their items packed best-fit.
+    their own class. Containers short of their count are opened again, and their items packed best-fit. ``filled``, if given, is set
+    for the items that were not packed in a full container of their class.
     """
     n = len(sizes)
     out = np.full(n, -1, np.int64)
+    if filled is not None:
+        filled[:] = True
     if not n:
         return out
     order = np.argsort(-sizes, kind="stable")
@@ -66,6 +69,8 @@ def pack(sizes: np.ndarray, capacity: int, filler_class: int = FILLER_CLASS) ->
             if full:
                 first = len(loads)
                 out[mine[:full]] = first + np.arange(full) // k
+                if filled is not None:
+                    filled[mine[:full]] = False
                 loads.extend(np.add.reduceat(sizes[mine[:full]], np.arange(0, full, k)).tolist())
             over.append(mine[full:])
         return np.concatenate(over) if over else items[:0]
@@ -114,8 +119,9 @@ def _pack_chunks(capacity: int, kind: pa.DataType, out: pa.Schema):
             number = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
             start = number * capacity
             part = np.minimum(size[doc] - start, capacity)
-            box = pack(part, capacity)
-            columns = [pa.array(base + box), ids.take(pa.array(doc)).cast(kind), pa.array(number), pa.array(start), pa.array(part), pa.array(pieces[doc])]
+            filled = np.zeros(len(part), bool)
+            box = pack(part, capacity, filled=filled)
+            columns = [pa.array(base + box), ids.take(pa.array(doc)).cast(kind), *map(pa.array, (number, start, part, pieces[doc], filled))]
             whole = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out)], schema=out)
             base += int(box.max()) + 1
             for at in range(0, whole.num_rows, 10_000):
@@ -136,9 +142,9 @@ def _pack_chunks(capacity: int, kind: pa.DataType, out: pa.Schema):
 
 
 def fill_containers(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text: str = "text", size: Sizer = byte_tokens) -> DataFrame:
-    """``(container_id, doc_id, piece, start, tokens, n_pieces)``: a container of ``capacity`` tokens for every document.
+    """``(container_id, doc_id, piece, start, tokens, n_pieces, filled)``: a container of ``capacity`` tokens for every document.
 
-    Only documents above the capacity are divided, into ``n_pieces`` ranges ``[start, start + tokens)`` of their tokens.
+    ``filled`` tells what went to space left free from what is in a full container of its own class. Only documents above the capacity are divided, into ``n_pieces`` ranges ``[start, start + tokens)`` of their tokens.
     Empty and null texts have 0 tokens and come out once; repeated rows are documents of their own; null ids stay null;
     an empty table gives no rows. Each input split is packed alone from (id, size) pairs without a shuffle, in
     the order of ids, so a retried task numbers its containers alike.
@@ -146,12 +152,16 @@ def fill_containers(docs: DataFrame, capacity: int, doc_id: str = "doc_id", text
     if capacity <= 0:
         raise ValueError("capacity must be positive")
     sized = docs.select(F.col(doc_id).alias("id"), size(F.col(text)).alias("n")).sortWithinPartitions("id", "n")
-    schema = T.StructType([T.StructField("container_id", T.LongType()), T.StructField(doc_id, docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("piece", "start", "tokens", "n_pieces")]])
+    schema = T.StructType([T.StructField("container_id", T.LongType()), T.StructField(doc_id, docs.schema[doc_id].dataType), *[T.StructField(c, T.LongType()) for c in ("piece", "start", "tokens", "n_pieces")], T.StructField("filled", T.BooleanType())])
     arrow = arrow_schema(schema)
     return sized.mapInArrow(_pack_chunks(capacity, arrow.field(1).type, arrow), schema)
 
 
 def container_report(packed: DataFrame, capacity: int) -> DataFrame:
-    """One row: containers, tokens, share of the space used, and what the tokens would need at least."""
-    total = packed.agg(F.countDistinct("container_id").alias("n_containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("piece") == 0, 1)).alias("n_documents"))
+    """One row: containers, tokens, items in full containers of their class and in space left free, share of the space used, and what the
+    tokens would need at least."""
+    total = packed.agg(
+        F.countDistinct("container_id").alias("n_containers"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.count(F.when(F.col("piece") == 0, 1)).alias("n_documents"),
+        F.count(F.when(~F.col("filled"), 1)).alias("n_by_class"), F.count(F.when(F.col("filled"), 1)).alias("n_by_filling"),
+    )
     return total.withColumns({"least_containers": F.ceil(F.col("tokens") / capacity), "used_share": F.when(F.col("n_containers") > 0, F.col("tokens") / (F.col("n_containers") * capacity))})

@@ -36,6 +36,17 @@ def p1_error_rate(spark: SparkSession, folder: str) -> DataFrame:
     return error_rates(p1_seen(spark, folder))
 
 
+def p1_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return p1_seen(spark, folder).select("request_id", "kind", "seen")
+
+
+def p1_rates_add_up(spark: SparkSession, folder: str) -> DataFrame:
+    """Per kind the requests and those seen, whether the routes account for all of them, and whether the filter errs on less than one in fifty."""
+    r = p1_error_rate(spark, folder)
+    whole = (F.col("n_positive") + F.col("n_negative") == F.col("n_requests")) & (F.col("n_positive") - F.col("n_collisions") == F.col("n_seen"))
+    return r.select("kind", "n_requests", "n_seen", whole.alias("accounted"), (F.col("wrong_rate") < 0.02).alias("seldom_wrong"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return connected_groups(same_rows(table(spark, folder, "edge_property")), "outVertex", "inVertex")
 
@@ -53,6 +64,10 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return p4_frequent(spark, folder).select("ref_column", "vertex")
 
 
+def p4_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return p4_frequent(spark, folder).select("ref_column", "vertex", "n", "n_column")
+
+
 def p7_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(table(spark, folder, "documents"), _setting(spark, folder, "container_capacity"))
 
@@ -65,6 +80,21 @@ def p7_report(spark: SparkSession, folder: str) -> DataFrame:
     return container_report(p7_containers(spark, folder), _setting(spark, folder, "container_capacity"))
 
 
+def p7_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document its tokens and pieces, and whether only whole containers divide it."""
+    limit = _setting(spark, folder, "container_capacity")
+    whole = (F.col("piece") == F.col("n_pieces") - 1) | (F.col("tokens") == limit)
+    rows = p7_containers(spark, folder).groupBy("doc_id")
+    return rows.agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n_pieces"), F.min(whole).alias("whole"))
+
+
+def p7_overfull(spark: SparkSession, folder: str) -> DataFrame:
+    """How many containers hold more than their capacity, and whether nine tenths of the space are used."""
+    limit = _setting(spark, folder, "container_capacity")
+    loads = p7_containers(spark, folder).groupBy("container_id").agg(F.sum("tokens").alias("tokens"))
+    return loads.agg(F.count(F.when(F.col("tokens") > limit, 1)).alias("n_overfull"), (F.sum("tokens") > 0.9 * limit * F.count(F.lit(1))).alias("well_filled"))
+
+
 def p8_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))[0]
 
@@ -77,6 +107,21 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_shares(spark, folder).where("used_up").select("source")
 
 
+def p8_own(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source its own documents and tokens, and whether the mixture keeps to its cap."""
+    return p8_shares(spark, folder).select("source", "n_documents", "own_tokens", (F.col("used_tokens") <= F.col("max_repeats") * F.col("own_tokens")).alias("capped"))
+
+
+def p8_total(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents used more often than their source permits, and whether the tokens used fill the budget to a thousandth and no further."""
+    docs, targets = table(spark, folder, "documents"), table(spark, folder, "mix_targets")
+    mixed = mixture(docs, targets)[0]
+    caps = targets.select("source", "max_repeats")
+    over = mixed.groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("n")).join(caps, "source").where("n > max_repeats").agg(F.count(F.lit(1)).alias("n_over"))
+    used = mixed.agg(F.sum("tokens").alias("used")).join(docs.agg(F.sum(F.octet_length("text")).alias("budget")))
+    return over.join(used).select("n_over", ((F.col("used") <= F.col("budget")) & (F.col("used") > 0.97 * F.col("budget"))).alias("filled"))  # one row each
+
+
 def p9_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return split_texts(table(spark, folder, "documents"), _setting(spark, folder, "piece_limit"), _setting(spark, folder, "piece_overlap"))
 
@@ -85,7 +130,19 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return p9_pieces(spark, folder).where((F.col("n_pieces") > 1) & (F.col("piece") == 0)).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_seen, p1_error_rate, p2_found, p2_group_sizes, p4_found, p4_frequent, p7_found, p7_containers, p7_report, p8_found, p8_mixture, p8_shares, p9_found, p9_pieces)}
+def p9_rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document the digest of its pieces without their overlaps, their tokens, and whether all are within the limit."""
+    limit = _setting(spark, folder, "piece_limit")
+    own = F.decode(F.substring(F.col("text").cast("binary"), (F.col("overlap") + 1).cast("int"), F.lit(1 << 30)), "ISO-8859-1")
+    rows = p9_pieces(spark, folder).select("doc_id", F.struct("piece", own.alias("own")).alias("p"), "tokens", "overlap")
+    rows = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("p")).alias("ps"), F.sum(F.col("tokens") - F.col("overlap")).alias("tokens"), (F.max("tokens") <= limit).alias("within"))
+    return rows.select("doc_id", F.md5(F.encode(F.array_join("ps.own", ""), "ISO-8859-1")).alias("digest"), "tokens", "within")
+
+
+QUERIES = {f.__name__: f for f in (
+    p1_found, p1_seen, p1_verdicts, p1_error_rate, p1_rates_add_up, p2_found, p2_group_sizes, p4_found, p4_frequent, p4_counts, p7_found, p7_containers, p7_documents, p7_overfull, p7_report,
+    p8_found, p8_mixture, p8_own, p8_shares, p8_total, p9_found, p9_pieces, p9_rebuilt,
+)}
 
 _LIMIT = "(SELECT tokens FROM size_limits WHERE limit_name = '{}')"
 _GROUPS = """WITH RECURSIVE links AS (SELECT outVertex AS a, inVertex AS b FROM edge_property WHERE lower(trim(label)) = 'same_as' AND outVertex IS NOT NULL AND inVertex IS NOT NULL
@@ -98,11 +155,24 @@ _FREQUENT = " UNION ALL ".join(
     for c in ("outVertex", "inVertex")
 )
 
-ORACLE = {
-    "p1_found": """WITH keyed AS (SELECT request_id, kind, CASE WHEN kind = 'vertex' THEN outer_id WHEN kind = 'edge' THEN CAST(handle AS VARCHAR) END AS key FROM id_requests),
+_SEEN = """WITH keyed AS (SELECT request_id, kind, CASE WHEN kind = 'vertex' THEN outer_id WHEN kind = 'edge' THEN CAST(handle AS VARCHAR) END AS key FROM id_requests),
  firsts AS (SELECT kind, key, min(request_id) AS first FROM keyed WHERE key IS NOT NULL GROUP BY 1, 2),
- stored AS (SELECT DISTINCT CAST((src * 4294967296) + dst AS VARCHAR) AS key FROM graph_edges WHERE src IS NOT NULL AND dst IS NOT NULL)
- SELECT request_id FROM keyed JOIN firsts USING (kind, key) WHERE request_id > first OR (kind = 'edge' AND key IN (SELECT key FROM stored))""",
+ stored AS (SELECT DISTINCT CAST((src * 4294967296) + dst AS VARCHAR) AS key FROM graph_edges WHERE src IS NOT NULL AND dst IS NOT NULL),
+ verdict AS (SELECT request_id, kind, request_id > first OR (kind = 'edge' AND key IN (SELECT key FROM stored)) AS seen FROM keyed JOIN firsts USING (kind, key))"""
+_COUNTS = " UNION ALL ".join(f"SELECT '{c}' AS ref_column, {c} AS vertex, count(*) AS n, (SELECT count({c}) FROM edge_property) AS n_column FROM edge_property WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("outVertex", "inVertex"))
+_CAPACITY = _LIMIT.format("container_capacity")
+
+ORACLE = {
+    "p1_found": f"{_SEEN} SELECT request_id FROM verdict WHERE seen",
+    "p1_verdicts": f"{_SEEN} SELECT request_id, kind, seen FROM verdict",
+    "p1_rates_add_up": f"{_SEEN} SELECT kind, count(*) AS n_requests, count(*) FILTER (seen) AS n_seen, true AS accounted, true AS seldom_wrong FROM verdict GROUP BY kind",
+    "p4_counts": f"SELECT * FROM ({_COUNTS}) WHERE n * 1000 >= n_column * (SELECT option_value FROM storage_options WHERE option_name = 'frequent_permille')",
+    "p7_documents": f"SELECT doc_id, strlen(text) AS tokens, greatest(1, CAST(ceil(strlen(text) / {_CAPACITY}) AS BIGINT)) AS n_pieces, true AS whole FROM documents",
+    "p7_overfull": "SELECT 0 AS n_overfull, true AS well_filled",
+    "p8_own": """SELECT t.source, coalesce(o.n, 0) AS n_documents, coalesce(o.own, 0) AS own_tokens, true AS capped FROM mix_targets t
+ LEFT JOIN (SELECT lower(trim(source)) AS source, count(*) AS n, sum(strlen(text))::BIGINT AS own FROM documents GROUP BY 1) o ON t.source = o.source""",
+    "p8_total": "SELECT 0 AS n_over, true AS filled",
+    "p9_rebuilt": "SELECT doc_id, md5(text) AS digest, strlen(text) AS tokens, true AS within FROM documents",
     "p2_found": f"{_GROUPS} SELECT vertex, group_id FROM groups",
     "p2_group_sizes": f"{_GROUPS} SELECT group_id, count(*) AS n_vertices FROM groups GROUP BY group_id",
     "p4_found": _FREQUENT,

@@ -49,6 +49,24 @@ def _once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+#: Pieces whose ends are summed one by one; the sums of such stretches are added up before.
+_STRETCH = 128
+
+
+def _ends(lengths: Column) -> Column:
+    """0 and the running sums of an array. Only one number a stretch is appended to an array, so long texts are not copied again and again."""
+    zero = F.lit(0).cast("long")
+    total = lambda x: F.aggregate(x, zero, lambda a, n: a + n)
+
+    def of(n: Column) -> Column:
+        starts = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / _STRETCH).cast("int")), lambda b: total(F.slice(n, b * _STRETCH + 1, F.lit(_STRETCH))))
+        before = F.aggregate(starts, F.array(zero), lambda acc, x: F.array_append(acc, F.element_at(acc, -1) + x))
+        at = lambda i: F.floor(i / _STRETCH).cast("int")
+        return _once(before, lambda b: F.transform(F.sequence(F.lit(0), F.size(n)), lambda i: F.get(b, at(i)) + total(F.slice(n, at(i) * _STRETCH + 1, (i % _STRETCH).cast("int")))))
+
+    return _once(lengths, of)
+
+
 def _continues(data: Column, i: Column) -> Column:
     """The byte at offset ``i`` continues a character."""
     byte = F.substring(data, (i + 1).cast("int"), F.lit(1))
@@ -84,7 +102,7 @@ def split_texts(docs: DataFrame, limit: int, overlap: int, doc_id: str = "doc_id
 
         return F.transform(F.sequence(F.lit(0), F.size(ends) - 2), piece)
 
-    ends = F.aggregate(lengths, F.array(zero), lambda acc, n: F.array_append(acc, F.element_at(acc, -1) + n))
+    ends = _ends(lengths)
     cut = lambda s: F.struct(
         s["piece"].alias("piece"), s["start"].alias("start"), (s["end"] - s["start"]).alias("tokens"), (s["core"] - s["start"]).alias("overlap"),
         F.decode(F.substring(data, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), "UTF-8").alias("text"),
