@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from loomgraph.storage import arrow_schema, width
 
-#: Rows gathered before their accumulators are flushed, and keys per array block; both bound a worker's memory.
+#: Rows gathered before their accumulators are flushed, and keys per array block. They bound a splitting worker's memory; a summing one
+#: holds two numbers for each distinct key of its blocks, as a hash aggregate does.
 SPLIT_ROWS, BLOCK_KEYS = 1 << 19, 256
 
 

@@ -10,14 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.model import PropertyGraph
-from loomgraph.operators.local import Csr, forests, in_one_task
+from loomgraph.operators.local import Csr, for_each_start, forests, in_one_task
 from loomgraph.operators.skew import Spread, lookup
 from loomgraph.operators.sweep import running_totals
-from loomgraph.storage import Grown, materialize, n_rows, release
+from loomgraph.storage import Grown, materialize, n_rows, release, width
 
 
 def _bound(graph: PropertyGraph, local_edges: int | None) -> int:
@@ -53,8 +54,8 @@ def bfs(graph: PropertyGraph, starts: int | Iterable[int] | DataFrame, direction
     """``(origin, vid, distance, parent)``: what each start reaches in hops, itself at 0 with a null parent.
 
     ``parent`` is the smallest vertex one hop nearer. ``community`` restricts the search to one community. A start that
-    is no vertex (of the community) reaches nothing. ``starts`` may also be a frame ``(vid)`` of any size, whose search always
-    runs in distributed rounds.
+    is no vertex (of the community) reaches nothing. ``starts`` may also be a frame ``(vid)`` of any size: over at most ``local_edges``
+    edges they are spread over tasks that each hold the graph, else all are searched at once in distributed rounds.
     """
     spark = graph.spark
     inside = graph.vertices.where(F.col("community") == community) if community is not None else graph.vertices
@@ -72,7 +73,18 @@ def bfs(graph: PropertyGraph, starts: int | Iterable[int] | DataFrame, direction
         if not known:
             return spark.createDataFrame([], schema)
         begin = spark.createDataFrame([(k,) for k in known], "vid long")
-    if not many and edges.count() <= _bound(graph, local_edges):
+    small = edges.count() <= _bound(graph, local_edges)
+    if small and many:
+        def search(csr: Csr, start: int) -> dict:
+            at = csr.code(start)
+            if at < 0:
+                return {"origin": [start], "vid": [start], "distance": [0], "parent": pa.array([None], pa.int64())}
+            code, distance, parent = csr.bfs(at)
+            return {"origin": np.full(len(code), start), "vid": csr.ids[code], "distance": distance, "parent": pa.array(csr.ids[parent], mask=parent < 0)}
+
+        begin = materialize(begin, "starts")
+        return for_each_start(edges, begin, max(min(width(spark), n_rows(begin)), -(-n_rows(begin) // 1000), 1), search, schema)
+    if small:
         def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
             csr, parts = Csr(src, dst, np.array(known, np.int64)), []
             for s in known:

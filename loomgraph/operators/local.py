@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 class Csr:
     """Dense codes for the vertices of an edge list, and neighbours grouped by source."""
@@ -139,6 +140,35 @@ def forests(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").mapInArrow(run, "u long, v long")
 
 
+def for_each_start(edges: DataFrame, starts: DataFrame, tasks: int, kernel: Callable[[Csr, int], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """Run ``kernel(csr, start)`` for every vertex of ``starts (vid)``, spread over ``tasks`` tasks, each of which holds all edges.
+
+    The caller has checked the number of edges. Starts stream through a task, so it holds the result of one at a time. Starts that
+    no edge has are known to the ``Csr``, too.
+    """
+    none = F.lit(None).cast("long")
+    copies = edges.select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    asked = starts.select(F.pmod(F.xxhash64("vid"), F.lit(tasks)).cast("int").alias("task"), F.lit(1).alias("kind"), F.col("vid").alias("a"), none.alias("b"))
+    rows = copies.unionByName(asked).repartitionById(tasks, F.col("task")).sortWithinPartitions("kind").select("kind", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, csr = [], None
+        for batch in batches:
+            kind, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = int(np.searchsorted(kind, 1))
+            if cut:
+                held.append((a[:cut], batch.column(2).slice(0, cut).to_numpy()))
+            for start in a[cut:].tolist():
+                if csr is None:
+                    ends = [np.concatenate([np.zeros(0, np.int64), *[h[i] for h in held]]) for i in (0, 1)]
+                    csr, held = Csr(*ends), []
+                whole = pa.RecordBatch.from_pydict(kernel(csr, start))
+                for at in range(0, whole.num_rows, 50_000):
+                    yield whole.slice(at, 50_000)
+
+    return rows.mapInArrow(run, schema)
+
+
 def in_one_task(edges: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]], schema: str) -> DataFrame:
     """Run ``kernel(src, dst)`` over all edges in one task. The caller has checked their number."""
 
