@@ -196,12 +196,12 @@ def _colours(edges: DataFrame) -> DataFrame:
         colour = changed
 
 
-def _peel(edges: DataFrame, done: Grown) -> DataFrame:
+def _peel(edges: DataFrame, done: Grown, bound: int) -> DataFrame:
     """Two peelings of strong components, added to ``done (vid, component)``; the edges that may lie inside others are left.
 
     First that of the vertex with most edges both ways: what it reaches and is reached from. No other component crosses the
     classes "only reached", "only reaching" and "neither". Then vertices are coloured by the smallest vertex that reaches them, and
-    what reaches the colour's own vertex inside its colour is a component; none crosses colours.
+    what reaches the colour's own vertex inside its colour is a component; none crosses colours. At ``bound`` edges it stops.
     """
     degrees = materialize(_degrees(edges), "degrees")
     pivot = degrees.orderBy(F.desc(F.col("n_out") * F.col("n_in")), "vid").first()["vid"]
@@ -210,7 +210,7 @@ def _peel(edges: DataFrame, done: Grown) -> DataFrame:
     core = marks.where("mark = 3").select("vid")
     done.add(core.join(F.broadcast(core.agg(F.min("vid").alias("component")))))  # one row
     edges = materialize(_between(edges, marks).where("a = b AND a <> 3").select("src", "dst"), "rest")
-    if not n_rows(edges):
+    if n_rows(edges) <= bound:
         return edges
     colour = _colours(edges)
     marks = materialize(colour.join(_degrees(edges), "vid").select("vid", F.col("c").alias("mark"), "n_out", "n_in"), "marks")
@@ -239,7 +239,7 @@ def scc(graph: PropertyGraph, local_edges: int | None = None) -> DataFrame:
     if rest.count() > bound:
         rest = _trimmed(materialize(rest, "rest"))
     while (n := n_rows(rest)) > bound:
-        rest = _peel(rest, done)
+        rest = _peel(rest, done, bound)
 
     def kernel(src: np.ndarray, dst: np.ndarray) -> dict:
         csr = Csr(src, dst)

@@ -414,7 +414,7 @@ def closure_to_targets(g):
     return A.closure(g, _asked(g), g.vertices.where("price > 930").select("vid"))
 
 
-# The same in distributed rounds, whatever the size: no task holds a graph.
+# The same in distributed rounds, whatever the size: no task holds the graph. Strong components are peeled off until a thousand edges are left.
 
 
 @query(people, f"RECURSIVE , {HUB}, {walk()} SELECT vid, distance FROM bf")
@@ -429,12 +429,12 @@ def rounds_wcc(g):
 
 @query(people, f"RECURSIVE , {STRONG} SELECT vid, component FROM sc")
 def rounds_scc(g):
-    return A.scc(g, 0)
+    return A.scc(g, 1000)
 
 
 @query(people, f"RECURSIVE , {LEVELS} SELECT vid, level FROM lv")
 def rounds_levels(g):
-    return A.levels(A.condensed(g, materialize(A.scc(g, 0), "scc")), 0)
+    return A.levels(A.condensed(g, materialize(A.scc(g, 1000), "scc")), 0)
 
 
 @query(people, f"RECURSIVE , {HUB}, {walk()}, far AS (SELECT min(vid) AS vid FROM bf WHERE distance = (SELECT max(distance) FROM bf)), up(vid, position) AS (SELECT vid, (SELECT max(distance) FROM bf) FROM far UNION ALL SELECT min(b.vid), min(b.distance) FROM up JOIN pe ON pe.dst = up.vid JOIN bf b ON b.vid = pe.src AND b.distance = up.position - 1 HAVING count(*) > 0) SELECT position, vid FROM up")
