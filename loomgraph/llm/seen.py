@@ -54,13 +54,21 @@ def _settle(out: pa.Schema):
     return run
 
 
-def _marked(rows: DataFrame, slots: DataFrame, blocks: int, small: bool) -> DataFrame:
-    """Add ``hit``: whether the ``slot`` of a row is among ``slots``; with ``small`` it also holds for a few others.
-
-    ``small``: ``slots`` become a bitmap of ``blocks`` times 4 KB, which is broadcast. Otherwise both sides are shuffled by slot.
-    """
-    if not small:
-        return rows.join(slots.distinct().withColumn("hit", F.lit(True)), "slot", "left").withColumn("hit", F.col("hit").isNotNull())
+def _unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct values of each stretch of a text column."""
+    held, rows, size = [], 0, 0
+    for b in batches:
+        held.append(b.column(0))
+        rows, size = rows + b.num_rows, size + b.nbytes
+        if rows >= SPLIT_ROWS or size >= SPLIT_BYTES:
+            yield pa.RecordBatch.from_arrays([pc.unique(pa.concat_arrays(held))], names=["key"])
+            held, rows, size = [], 0, 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pc.unique(pa.concat_arrays(held))], names=["key"])
+
+
+def _marked(rows: DataFrame, slots: DataFrame, blocks: int) -> DataFrame:
+    """Add ``hit``: true if the ``slot`` of a row is among ``slots``, and for a few others: a broadcast bitmap of ``blocks`` times 4 KB tells."""
     block, bit = F.pmod("slot", F.lit(blocks)), F.pmod(F.floor(F.col("slot") / blocks), F.lit(_BITS))
     bits = slots.groupBy(block.alias("_block")).agg(F.bitmap_construct_agg(bit).alias("_bits"))
     byte = F.ascii(F.decode(F.substring(F.col("_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1)), "ISO-8859-1"))
@@ -94,7 +102,8 @@ def seen_before(
 
     Rows of slots with a single arrival are kept out of the shuffle of full keys, and stored keys whose slot no
     request has out of every shuffle, by bitmaps of ``bits_per_key`` bits a request, broadcast if they have at most
-    ``max_broadcast_bytes`` together. Larger ones are replaced by semi-joins on the slot, with the same verdicts.
+    ``max_broadcast_bytes`` together. Where they would be larger a row must travel to its slot to ask the filter, and its key goes with it:
+    open requests and stored keys, repeats of a stretch merged, meet by slot in one shuffle, with the same verdicts.
     """
     own = lambda kind: F.xxhash64(kind, "key")
     rows = requests.select(F.coalesce("request_id", F.lit(_LAST)).cast("long").alias("id"), "kind", "key").where(F.col("key").isNotNull())
@@ -109,21 +118,25 @@ def seen_before(
     small = 2 * blocks * _BYTES <= max_broadcast_bytes
     slot = lambda h: F.pmod(h, F.lit(slots)).alias("slot")
     arrivals = swept.where(~F.col("settled")).select("id", "kind", "key", slot(F.col("hash")))
-    asked = arrivals.where(F.col("kind") == stored_kind).select("slot")
-    kept = kept.select("key", slot(own(F.lit(stored_kind))))
-    kept = materialize(_marked(kept if small else kept.distinct(), asked, blocks, small).where("hit").select("slot", "key"), "stored")
-    pairs = arrivals.select("slot", "id").unionByName(kept.select("slot", F.lit(_STORED).alias("id")))
-    busy = pairs.groupBy("slot").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("slot")
-    marked = _marked(arrivals, busy, blocks, small)
-    looked = marked.where("hit").select("slot", "kind", "key", "id")
-    looked = looked.unionByName(kept.distinct().select("slot", F.lit(stored_kind).alias("kind"), "key", F.lit(_STORED).alias("id")))
+    if small:
+        asked = arrivals.where(F.col("kind") == stored_kind).select("slot")
+        kept = kept.select("key", slot(own(F.lit(stored_kind))))
+        kept = materialize(_marked(kept, asked, blocks).where("hit").select("slot", "key"), "stored")
+        pairs = arrivals.select("slot", "id").unionByName(kept.select("slot", F.lit(_STORED).alias("id")))
+        busy = pairs.groupBy("slot").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("slot")
+        marked = _marked(arrivals, busy, blocks)
+        looked, alone, kept = marked.where("hit").drop("hit"), marked.where(~F.col("hit")), kept.distinct()
+    else:
+        looked, alone, kept = arrivals, None, kept.mapInArrow(_unique, "key string").select("key", slot(own(F.lit(stored_kind))))
+    looked = looked.unionByName(kept.select("slot", F.lit(stored_kind).alias("kind"), "key", F.lit(_STORED).alias("id")))
     earliest = lambda *by: F.min("id").over(Window.partitionBy(*by))
     looked = looked.withColumn("first", earliest("slot")).withColumn("same", earliest("slot", "kind", "key")).where(F.col("id") != _STORED)
     positive, seen, none = F.col("first") < F.col("id"), F.col("same") < F.col("id"), F.lit(None).cast("string")
     verdicts = looked.select("id", "kind", seen.alias("seen"), F.when(positive, "exact").otherwise("filter").alias("route"), F.when(positive & ~seen, "collision").alias("mistake"))
-    alone = marked.where(~F.col("hit")).select("id", "kind", F.lit(False).alias("seen"), F.lit("filter").alias("route"), none.alias("mistake"))
     repeated = swept.where("settled").select("id", "kind", F.lit(True).alias("seen"), F.lit("exact").alias("route"), none.alias("mistake"))
-    out = repeated.unionByName(verdicts).unionByName(alone)
+    out = repeated.unionByName(verdicts)
+    if alone is not None:
+        out = out.unionByName(alone.select("id", "kind", F.lit(False).alias("seen"), F.lit("filter").alias("route"), none.alias("mistake")))
     return out.select(F.when(F.col("id") != _LAST, F.col("id")).cast(requests.schema["request_id"].dataType).alias("request_id"), "kind", "seen", "route", "mistake")
 
 
