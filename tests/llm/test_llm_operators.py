@@ -40,6 +40,17 @@ def test_seen_against_replay(spark, limit):
     assert seen_before(rows.limit(0), stored.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 0])
+def test_seen_awkward_rows(spark, limit):
+    """Null kinds are a kind of their own, null ids come last, an id and key that come twice are one arrival, keys may be very long."""
+    long = "x" * 100_000
+    rows = [(1, None, "a"), (2, None, "a"), (3, "vertex", "a"), (None, "vertex", "a"), (None, "vertex", "b"), (5, "edge", "c"), (5, "edge", "c"), (6, "edge", "c"), (7, "edge", long), (8, "edge", long), (9, "edge", ""), (10, "edge", None), (11, "vertex", "s"), (12, "edge", "s")]
+    df = spark.createDataFrame(rows, "request_id long, kind string, key string").repartition(2)
+    got = [(r["request_id"], r["kind"], r["seen"]) for r in seen_before(df, spark.createDataFrame([("s",), ("s",), (None,)], "key string"), max_broadcast_bytes=limit).collect()]
+    want = [(1, None, False), (2, None, True), (3, "vertex", False), (None, "vertex", True), (None, "vertex", False), (5, "edge", False), (5, "edge", False), (6, "edge", True), (7, "edge", False), (8, "edge", True), (9, "edge", False), (11, "vertex", False), (12, "edge", True)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 def groups_of(pairs):
     parent = {}
 
