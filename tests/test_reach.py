@@ -52,3 +52,23 @@ def test_few_targets(spark, monkeypatch, turned):
     out = _outs(edges)
     got = A.reachable(graph, spark.createDataFrame(pairs + pairs[:9], "src long, dst long")).collect()
     assert {(r["src"], r["dst"]): r["reachable"] for r in got} == {(a, b): max(a, b) < 500 and b in _reach(out, a) for a, b in pairs} and len(got) == len(pairs)
+
+
+@pytest.mark.parametrize("bound", [10**6, 0])
+def test_counts_without_distances(spark, monkeypatch, bound):
+    """Two large components, a way between them, tails, a vertex without edges: each start counts all that it reaches, each component is searched once."""
+    ring = lambda lo, n: [(lo + k, lo + (k + 1) % n) for k in range(n)]
+    edges = ring(0, 40) + ring(50, 30) + [(3, 45), (45, 50), (52, 90), (90, 91), (95, 0), (95, 52), (96, 96), (96, 91)]
+    graph = PropertyGraph(spark.range(100).select(F.col("id").alias("vid")), spark.createDataFrame(edges, "src long, dst long"))
+    starts = [*range(0, 100, 5), 96, 95, 777]
+    frame, out = spark.createDataFrame([(v,) for v in starts], "vid long"), _outs(edges)
+    want = {v: len(_reach(out, v)) for v in starts if v < 100}
+    searched = []
+    whole, groups = A.bfs, A.in_groups
+    monkeypatch.setattr(A, "bfs", lambda g, keys, **k: searched.append(keys.count()) or whole(g, keys, **k))
+    monkeypatch.setattr(A, "in_groups", lambda e, keys, *k: searched.append(keys.count()) or groups(e, keys, *k))
+    assert {r["origin"]: r["n"] for r in A.reach_counts(graph, frame, bound).collect()} == want
+    assert searched == [len({v if v >= 40 else 0 for v in want if not 50 <= v < 80} | {50})]
+    if bound:
+        row = A.bfs_samples(graph, frame, bound, depth=False).first().asDict()
+        assert row == {"samples": len(want), "least": 1, "most": max(want.values()), "average": round(sum(want.values()) / len(want), 6)}
